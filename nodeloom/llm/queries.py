@@ -2,12 +2,25 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from nodeloom.llm import mixing, url_filter
+from nodeloom.llm import mixing, piece_bpe, token_count, url_filter
 from nodeloom.llm.common import table
 
 
+WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
+PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
+
+
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_count.count_tokens(table(spark, sf_dir, "documents"), WORD_BPE)
+
+
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_bpe.encode_digests(table(spark, sf_dir, "documents"), PIECE_BPE)
+
+
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
@@ -17,6 +30,8 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_token_counts": op2_token_counts,
+    "op7_sentencepiece": op7_sentencepiece,
     "op8_mix_sources": op8_mix_sources,
     "op10_url_filter": op10_url_filter,
 }
