@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from nodeloom.llm.common import arrow_map, slices, texts_of
 
@@ -271,7 +272,7 @@ def encode(documents: DataFrame, path: str) -> DataFrame:
     comes for each row; other columns stay as they are.
     """
     rest = documents.drop("ids")
-    schema = rest.schema.add("ids", "array<int>")
+    schema = T.StructType([*rest.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))])
     at = rest.columns.index("text")
 
     def make():
@@ -296,7 +297,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     A row comes for each row; other columns stay as they are. An id that the model lacks is an error.
     """
     rest = encoded.drop("decoded")
-    schema = rest.schema.add("decoded", "string")
+    schema = T.StructType([*rest.schema.fields, T.StructField("decoded", T.StringType())])
     at = rest.columns.index("ids")
 
     def make():
