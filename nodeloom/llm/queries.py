@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from nodeloom.llm import langid, mixing, piece_bpe, token_count, toxicity, url_filter
+from nodeloom.llm import langid, mixing, mtree, piece_bpe, rabitq, token_count, toxicity, url_filter
 from nodeloom.llm.common import table
 
 
@@ -17,6 +17,10 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(table(spark, sf_dir, "documents"), WORD_BPE)
 
 
+def op3_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mtree.top_products(table(spark, sf_dir, "embeddings"))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     return langid.identify(documents, langid.fit(documents))
@@ -26,6 +30,10 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rabitq.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_bpe.encode_digests(table(spark, sf_dir, "documents"), PIECE_BPE)
 
@@ -40,14 +48,17 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_token_counts": op2_token_counts,
+    "op3_exact_top_k": op3_exact_top_k,
     "op4_language_id": op4_language_id,
     "op5_toxicity": op5_toxicity,
+    "op6_nearest_neighbours": op6_nearest_neighbours,
     "op7_sentencepiece": op7_sentencepiece,
     "op8_mix_sources": op8_mix_sources,
     "op10_url_filter": op10_url_filter,
 }
 
 ORACLES = {
+    "op3_exact_top_k": mtree.ORACLE,
     "op8_mix_sources": mixing.ORACLE,
     "op10_url_filter": url_filter.ORACLE,
 }
