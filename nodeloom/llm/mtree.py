@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from nodeloom.llm.vector_blocks import search, usable
 
-PAGE, FANOUT = 160, 24
+PAGE, FANOUT = 128, 64
 SLACK = 1e-6
 
 
@@ -34,7 +34,7 @@ def build(vectors: np.ndarray) -> dict[str, np.ndarray]:
     """A tree over the rows of ``vectors`` as flat arrays.
 
     Node 0 is the root. Node i holds entries start[i]..start[i+1]; an inner node's entries name child nodes, a leaf's
-    rows. Pages split by the nearest of FANOUT routing vectors, chosen far from each other; rows that all coincide, or
+    rows. Pages split by the nearest of FANOUT routing vectors at most, chosen far from each other; rows that all coincide, or
     that one routing vector would take whole, are dealt evenly.
     """
     norms = (vectors**2).sum(1)
@@ -51,14 +51,15 @@ def build(vectors: np.ndarray) -> dict[str, np.ndarray]:
         chosen = [int(rows[0])]
         nearest = ((vectors[rows] - vectors[rows[0]]) ** 2).sum(1)
         owner = np.zeros(len(rows), np.int64)
-        while len(chosen) < FANOUT and nearest.max() > 0:
+        many = min(FANOUT, -(-2 * len(rows) // PAGE))
+        while len(chosen) < many and nearest.max() > 0:
             chosen.append(int(rows[nearest.argmax()]))
             own = ((vectors[rows] - vectors[chosen[-1]]) ** 2).sum(1)
             owner[own < nearest] = len(chosen) - 1
             nearest = np.minimum(nearest, own)
         if len(chosen) < 2 or np.bincount(owner).max() > 0.9 * len(rows):
-            owner = np.arange(len(rows)) % FANOUT
-            chosen = [int(rows[i]) for i in range(FANOUT)]
+            owner = np.arange(len(rows)) % many
+            chosen = [int(rows[i]) for i in range(many)]
         children, away, radius, most = [], [], [], []
         for i, c in enumerate(chosen):
             own = rows[owner == i]
