@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from nodeloom.llm import langid, mixing, mtree, piece_bpe, rabitq, token_count, toxicity, url_filter
+from nodeloom.llm import langid, mixing, mtree, pii, piece_bpe, rabitq, token_count, toxicity, url_filter
 from nodeloom.llm.common import table
 
 
@@ -42,6 +42,10 @@ def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digests(table(spark, sf_dir, "documents"))
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
@@ -54,6 +58,7 @@ QUERIES = {
     "op6_nearest_neighbours": op6_nearest_neighbours,
     "op7_sentencepiece": op7_sentencepiece,
     "op8_mix_sources": op8_mix_sources,
+    "op9_pii": op9_pii,
     "op10_url_filter": op10_url_filter,
 }
 
