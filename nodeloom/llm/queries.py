@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from nodeloom.llm import langid, mixing, mtree, pii, piece_bpe, rabitq, token_count, toxicity, url_filter
+from nodeloom.llm import jaccard_join, langid, mixing, mtree, pii, piece_bpe, rabitq, token_count, toxicity, url_filter
 from nodeloom.llm.common import table
 
 
@@ -13,6 +13,10 @@ WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
 
 
+def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(table(spark, sf_dir, "documents"), WORD_BPE)
 
@@ -51,6 +55,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_token_counts": op2_token_counts,
     "op3_exact_top_k": op3_exact_top_k,
     "op4_language_id": op4_language_id,
