@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from nodeloom.llm.common import stored
@@ -33,7 +33,8 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share
         "rest": F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(before), F.lit(0)),
     })
     by = by.withColumn("level", F.when(F.col("left") / F.col("rest") * F.col("weight") <= F.col("cap"), F.col("left") / F.col("rest")))
-    by = by.withColumn("level", F.min("level").over(everything))
+    # from the first source that stays below its cap on, later candidates only fall
+    by = by.withColumn("level", F.max("level").over(everything))
     full_up = F.col("cap").cast("double")
     target = F.when(F.col("level").isNull(), full_up).otherwise(F.least(full_up, F.col("level") * F.col("weight")))
     return by.select("source", "source_size", target.alias("target"))
@@ -70,6 +71,37 @@ def _thresholds(docs: DataFrame, targets: DataFrame) -> DataFrame:
     return state.select("source", "passes", F.col("base").alias("threshold"))
 
 
+#: Plans with more sources than this are joined by shuffle.
+MOST_SENT = 50_000
+
+
+def _hash() -> Column:
+    return F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, DIGITS * LEVELS), 16, 10).cast("long")
+
+
+def mix_plan(sized: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: int = 2) -> DataFrame:
+    """``(source, source_size, target, passes, threshold)`` from ``(source, size, h)``, read several times."""
+    targets = stored(source_targets(sized, weights, share, most))
+    found = _thresholds(sized, targets)
+    return stored(targets.alias("t").join(found.alias("f"), F.expr("t.source <=> f.source"), "left").select("t.*", F.coalesce("passes", F.lit(0)).alias("passes"), F.coalesce("threshold", F.lit(0)).alias("threshold")))
+
+
+def with_size(documents: DataFrame) -> DataFrame:
+    """``(doc_id, source, size, h)``, written once: the texts are read one time."""
+    size = F.coalesce(F.regexp_count("text", F.lit(WORDS)), F.lit(0)).cast("long")
+    return stored(documents.select("doc_id", "source", size.alias("size"), _hash().alias("h")))
+
+
+def with_passes(documents: DataFrame, plan: DataFrame, most: int, *columns: str) -> DataFrame:
+    """``documents(doc_id, source, ...)`` with ``__passes``, how often each is taken, and ``columns`` of its source's plan."""
+    small = plan.count() <= MOST_SENT
+    rows = documents.withColumn("__h", _hash())
+    own = plan.select(F.col("source").alias("__source"), "threshold", F.col("passes").alias("__passes"), *columns)
+    met = rows.join(F.broadcast(own) if small else own, F.col("source").eqNullSafe(F.col("__source")))
+    passes = F.least(F.col("__passes") + F.when(F.col("__h") < F.col("threshold"), 1).otherwise(0), F.lit(most))
+    return met.withColumn("__passes", passes).drop("__h", "__source", "threshold")
+
+
 def mix_sources(documents: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: int = 2) -> DataFrame:
     """What a mix takes of every document: ``(doc_id, size, source_size, target, taken)``, a row for each row of ``documents``.
 
@@ -79,13 +111,17 @@ def mix_sources(documents: DataFrame, weights: tuple[int, ...] = (5, 2, 1), shar
     rows share one decision. A source's sum differs from its target by half of the boundary document (or of the
     documents with its 36-bit hash) at most. An empty table gives an empty one.
     """
-    h = F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, DIGITS * LEVELS), 16, 10).cast("long")
-    docs = stored(documents.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORDS)), F.lit(0)).cast("long").alias("size"), h.alias("h")))
-    targets = stored(source_targets(docs, weights, share, most))
-    found = _thresholds(docs, targets)
-    plan = stored(targets.alias("t").join(found.alias("f"), F.expr("t.source <=> f.source"), "left").select("t.*", "passes", "threshold"))
-    passes = F.coalesce("passes", F.lit(0)) + F.when(F.col("h") < F.col("threshold"), 1).otherwise(0)
-    return docs.alias("d").join(plan.alias("p"), F.expr("d.source <=> p.source")).select("doc_id", "size", "source_size", "target", (F.col("size") * F.least(passes, F.lit(most))).cast("long").alias("taken"))
+    sized = with_size(documents)
+    plan = mix_plan(sized, weights, share, most)
+    met = with_passes(sized, plan, most, "source_size", "target")
+    return met.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("__passes")).cast("long").alias("taken"))
+
+
+def mixed(documents: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: int = 2) -> DataFrame:
+    """The mix itself: each row of ``documents`` as often as mix_sources takes it; documents without a word go."""
+    plan = mix_plan(with_size(documents), weights, share, most)
+    met = with_passes(documents, plan, most).where((F.col("__passes") > 0) & F.col("text").rlike(WORDS))
+    return met.withColumn("__pass", F.explode(F.sequence(F.lit(1), F.col("__passes").cast("int")))).select(*[F.col(f"`{c}`") for c in documents.columns])
 
 
 ORACLE = r"""
@@ -96,7 +132,7 @@ w AS (SELECT *, [5, 2, 1][((row_number() OVER (ORDER BY source NULLS LAST) - 1)
 o AS (SELECT *, 1.5::DOUBLE * sum(source_size) OVER ()::DOUBLE - coalesce(sum(cap) OVER pre, 0)::DOUBLE AS lef,
              (sum(weight) OVER () - coalesce(sum(weight) OVER pre, 0))::DOUBLE AS rest
       FROM w WINDOW pre AS (ORDER BY cap::DOUBLE / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-l AS (SELECT *, min(CASE WHEN lef / rest * weight <= cap THEN lef / rest END) OVER () AS level FROM o),
+l AS (SELECT *, max(CASE WHEN lef / rest * weight <= cap THEN lef / rest END) OVER () AS level FROM o),
 t AS (SELECT source, source_size, CASE WHEN level IS NULL THEN cap::DOUBLE ELSE least(cap::DOUBLE, level * weight) END AS target FROM l),
 p AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS passes FROM t),
 g AS (SELECT source, h, sum(size)::BIGINT AS n FROM d GROUP BY 1, 2),
