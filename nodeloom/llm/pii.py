@@ -25,25 +25,38 @@ FIND = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 LEARNED = "id"
-#: Identifier-like tokens: they hold five digits at least, not all of them apart.
-TOKEN = r"(?<![A-Za-z0-9])[A-Za-z0-9](?:[._/-]?[A-Za-z0-9])*+"
+#: Identifier-like tokens: runs of letters and digits, joined by single marks, with a digit among the first 64
+#: characters and five in all.
+TOKEN = r"(?<![A-Za-z0-9])(?=[A-Za-z._/-]{0,63}[0-9])[A-Za-z0-9](?:[._/-]?[A-Za-z0-9])*+"
+#: Matches that are added one by one to an array, before the array goes to the whole.
+PART = 128
 SUPPORT, CONFIDENCE, CERTAIN, ROUNDS = 3, 0.6, 0.8, 3
 
 SPAN = "array<struct<kind:string,start:int,stop:int,value:string>>"
 
 
 def _found(text: Column, pattern: str, kind: str) -> Column:
-    """All matches with their places in code points: what lies between them gives the offsets."""
-    hits, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    zipped = F.arrays_zip(hits.alias("hit"), F.slice(gaps, 1, F.greatest(F.size(hits), F.lit(1))).alias("gap"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
+    """All matches with their places in code points: what lies between them gives the offsets.
+
+    Offsets add up in parts of PART matches, since an array that grows by one is copied each time.
+    """
+    gaps = F.transform(F.split(text, pattern, -1), F.length)
+    # one gap more than there are matches; arrays_zip fills the last match with null
+    zipped = F.arrays_zip(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hit"), gaps.alias("gap"))
+    none = F.array().cast(SPAN)
 
     def step(acc: Column, x: Column) -> Column:
-        a = acc["at"] + F.length(x["gap"])
+        a = acc["at"] + x["gap"]
         b = a + F.length(x["hit"])
         return F.struct(b.alias("at"), F.concat(acc["out"], F.array(F.struct(F.lit(kind).alias("kind"), a.alias("start"), b.alias("stop"), x["hit"].alias("value")))).alias("out"))
 
-    return F.aggregate(F.filter(zipped, lambda x: x["hit"].isNotNull()), start, step, lambda acc: acc["out"])
+    def part(acc: Column, xs: Column) -> Column:
+        own = F.aggregate(F.filter(xs, lambda x: x["hit"].isNotNull()), F.struct(acc["at"].alias("at"), none.alias("out")), step)
+        return F.transform(F.array(own), lambda o: F.struct(o["at"].alias("at"), F.concat(acc["out"], o["out"]).alias("out")))[0]
+
+    # the matches once, as the only element of an array, so that both uses below read one value
+    parts = F.transform(F.array(zipped), lambda z: F.transform(F.sequence(F.lit(0), F.floor((F.size(z) - 1) / PART).cast("int")), lambda i: F.slice(z, i * PART + 1, PART)))[0]
+    return F.aggregate(parts, F.struct(F.lit(0).alias("at"), none.alias("out")), part, lambda acc: acc["out"])
 
 
 def _digits(value: Column) -> Column:
@@ -136,9 +149,8 @@ def find_spans(documents: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     holding = keyed.where(text.rlike("[0-9@]")).select("__row", text.alias("text")).withColumn("base", base_spans(F.col("text")))
     holding = holding.withColumn("tokens", _token_spans(F.col("text"), F.col("base")))
-    holding = holding.where((F.size("base") > 0) | (F.size("tokens") > 0))
     contexts = F.transform(F.concat("base", "tokens"), lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["stop"].alias("stop"), s["value"].alias("value"), _contexts(F.col("text"), s).alias("patterns")))
-    found = stored(holding.select("__row", "base", contexts.alias("all")))
+    found = stored(holding.select("__row", "base", contexts.alias("all"))).where(F.size("all") > 0)
 
     spans = found.select("__row", F.explode("all").alias("s")).select("__row", "s.*")
     seed = F.col("kind") != LEARNED
