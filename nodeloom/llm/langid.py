@@ -20,7 +20,7 @@ from nodeloom.llm.common import arrow_map, texts_of
 
 WORD = regex.compile(r"\p{L}+")
 UNDETERMINED = "und"
-MOST_CACHED = 400_000
+MOST_CACHED = 250_000
 
 
 @dataclass(frozen=True)

@@ -26,8 +26,8 @@ SPACE = "▁"  # stands for a space inside pieces
 #: Types of pieces, and the model type of BPE.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 BPE = 2
-MOST_CACHED, MOST_PAIRS = 300_000, 1 << 21
-SLICE = 4 << 20
+MOST_CACHED, MOST_PAIRS = 120_000, 1 << 19
+SLICE = 1 << 20
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes | float]]:

@@ -33,7 +33,7 @@ WHITE = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028,
 #: A symbol is a byte, plus FINAL where a word ends with it. PAD fills the last chunk.
 FINAL, PAD, SYMBOLS = 256, 512, 513
 SHIFT, BIAS = 7, 64
-MOST_STATES, MOST_PAIRS = 1 << 17, 1 << 21
+MOST_STATES, MOST_PAIRS = 1 << 17, 1 << 19
 CHUNK = 512
 #: Bytes of text that are held as symbols at a time.
 SLICE = 6 << 20

@@ -12,13 +12,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from nodeloom.llm.common import arrow_map, slices, texts_of
+from nodeloom.llm.common import arrow_map, give_back, slices, texts_of
 
 WORD = re.compile(r"\w+")
 #: Letters of a stem.
 STEM = 5
-MOST_CACHED = 1_000_000
-SLICE = 4 << 20
+MOST_CACHED = 120_000
+SLICE = 1 << 20
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 
 
@@ -148,6 +148,8 @@ def fit(documents: DataFrame, labels: DataFrame, settings: Settings = Settings()
         rows = [(h, f, y) for b in batches for h, y, f in zip(*(c.to_pylist() for c in b.columns), strict=True)]
         rows.sort(key=lambda r: (r[0], r[1]))
         w = train([(np.frombuffer(f, np.int32), int(y > 0)) for _, f, y in rows], settings)
+        rows.clear()
+        give_back()
         yield pa.RecordBatch.from_pydict({"features": [w.features.tobytes()], "values": [w.values.tobytes()], "bias": pa.array([w.bias], pa.float64())})
 
     ready = arrow_map(chosen, "h long, toxic int, features binary", hashed)
