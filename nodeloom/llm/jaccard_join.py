@@ -35,8 +35,8 @@ VALUES = BANDS * ROWS
 STEP, TOLERANCE = 16, 1e-9
 #: Classes in a cell, on average.
 CELL = 512
-MOST_CACHED = 1_000_000
-SLICE = 2 << 20
+MOST_CACHED = 120_000
+SLICE = 1 << 20
 _RANDOM = np.random.default_rng(20240229)
 _FACTORS = (_RANDOM.integers(1, 1 << 32, VALUES, dtype=np.uint64) | 1).astype(np.uint32)
 _TERMS = _RANDOM.integers(0, 1 << 32, VALUES, dtype=np.uint64).astype(np.uint32)
@@ -205,30 +205,56 @@ def signatures(documents: DataFrame, n: int) -> DataFrame:
     return arrow_map(documents.select(ROW, F.col("doc_id").cast("long"), "text"), schema, make)
 
 
-def shingle_sets(documents: DataFrame, n: int) -> DataFrame:
-    """``(node, shingles)`` of each row of ``documents(text)``: its class and its set, 8 bytes a shingle."""
+#: The largest bitmap that goes to the tasks, in bits (32 MB). Beyond it more rows pass; none is lost.
+MOST_BITS = 1 << 28
+
+
+def row_bitmap(rows: DataFrame) -> np.ndarray:
+    """Bits at the hashes of the numbers in ``rows(__row)``, eight to a number up to MOST_BITS, gathered in pages of 4 KB."""
+    bits = 1 << 15
+    while bits < min(MOST_BITS, 8 * rows.count()):
+        bits *= 2
+    at = F.pmod(F.xxhash64(ROW), F.lit(bits)) + 1
+    pages = rows.groupBy(F.bitmap_bucket_number(at).alias("page")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("b"))
+    out = np.zeros(bits // 8, np.uint8)
+    for r in pages.toLocalIterator():
+        out[(r["page"] - 1) * 4096 : r["page"] * 4096] = np.frombuffer(r["b"], np.uint8)
+    return out
+
+
+def shingle_sets(documents: DataFrame, rows: DataFrame, n: int) -> DataFrame:
+    """``(node, shingles)``: the class and the set (8 bytes a shingle) of each row of ``documents(__row, text)`` that ``rows(__row)`` names, and of few others.
+
+    A bitmap sorts the rows out where they are read, so that no text is shuffled.
+    """
+    bitmap = row_bitmap(rows)
+    held = documents.sparkSession.sparkContext.broadcast(bitmap)
 
     def make():
         shingler = Shingler(n)
 
         def each(batch: pa.RecordBatch):
-            texts = texts_of(batch.column(0))
+            at = batch.column(0).to_numpy()
+            texts = texts_of(batch.column(1).take(pa.array(np.flatnonzero(held.value[at >> 3] >> (at & 7) & 1))))
             for a, b in slices([len(t) for t in texts], SLICE):
                 sets = shingler.sets(texts[a:b])
                 yield pa.RecordBatch.from_arrays([pa.array([class_of(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "shingles"])
 
         return each
 
-    return arrow_map(documents.select("text"), "node binary, shingles binary", make)
+    numbers = documents.select(F.pmod(F.xxhash64(ROW), F.lit(8 * len(bitmap))).alias("at"), "text")
+    return arrow_map(numbers, "node binary, shingles binary", make)
 
 
-def met(members: DataFrame, key: str, payload: list[str]) -> DataFrame:
+def met(members: DataFrame, key: str, payload: list[str], plain: DataFrame | None = None) -> DataFrame:
     """Members of ``key`` dealt into cells, each with every other: ``(key, x, y, cell, node, *payload)``, x <= y.
 
+    ``plain`` has the same members without a payload, if that is cheaper to count.
+
     A key with m members has about m / CELL cells, and each member goes to each meeting of its cell, so no task gets
     more than about two cells. Keys with one member go.
     """
-    counts = members.groupBy(key).agg(F.count("*").alias("m")).where("m > 1")
+    counts = (members if plain is None else plain).groupBy(key).agg(F.count("*").alias("m")).where("m > 1")
     cells = F.ceil(F.col("m") / CELL).cast("int")
     dealt = members.join(counts, key).withColumn("cells", cells).withColumn("cell", F.pmod(F.xxhash64("node"), F.col("cells")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("cells") - 1))
@@ -270,8 +296,8 @@ def candidate_edges(reps: DataFrame, threshold: float) -> DataFrame:
     return dealt.join(reps.select("node", "signature"), "node").groupBy("key", "x", "y").applyInArrow(meet, "a binary, b binary").distinct()
 
 
-def verified_links(clustered: DataFrame, threshold: float) -> DataFrame:
-    """``(node, links, b)`` from ``(node, cluster, copies, signature, shingles)``.
+def verified_links(clustered: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """``(node, links, b)`` from ``(node, cluster, copies, signature)`` and each node's ``(node, shingles)``.
 
     Each meeting of two cells gives for a node the rows linked to it there and a neighbour ``b`` in the forest, or null.
     """
@@ -294,7 +320,8 @@ def verified_links(clustered: DataFrame, threshold: float) -> DataFrame:
         forest = dict(zip(*_forest(a["node"], b["node"], i, j), strict=True))
         return pa.table({"node": pa.array(list(links), pa.binary()), "links": pa.array(list(links.values()), pa.int64()), "b": pa.array([forest.get(x) for x in links], pa.binary())})
 
-    return met(clustered, "cluster", ["copies", "signature", "shingles"]).groupBy("cluster", "x", "y").applyInArrow(meet, "node binary, links long, b binary")
+    whole = clustered.join(sets, "node")
+    return met(whole, "cluster", ["copies", "signature", "shingles"], clustered).groupBy("cluster", "x", "y").applyInArrow(meet, "node binary, links long, b binary")
 
 
 def grouped(documents: DataFrame, threshold: float = 0.8, n: int = 5) -> DataFrame:
@@ -309,8 +336,10 @@ def grouped(documents: DataFrame, threshold: float = 0.8, n: int = 5) -> DataFra
     clusters = components(candidate_edges(reps, threshold)).select("node", F.col("root").alias("cluster"))
     chosen = stored(reps.select("node", "head", "copies", "signature").join(clusters, "node"))
     # the sets of clustered classes, read from the first document of each
-    texts = documents.select(ROW, "text").join(chosen.select(F.col(f"head.{ROW}").alias(ROW)), ROW, "left_semi")
-    found = stored(verified_links(chosen.drop("head").join(shingle_sets(texts, n), "node"), threshold))
+    sets = shingle_sets(documents.select(ROW, "text"), chosen.select(F.col(f"head.{ROW}").alias(ROW)), n)
+    # a row that passes the bitmap by chance may be a copy of a chosen one
+    sets = sets.groupBy("node").agg(F.first("shingles").alias("shingles"))
+    found = stored(verified_links(chosen.drop("head"), sets, threshold))
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     groups = components(found.where("b IS NOT NULL").select(F.col("node").alias("a"), "b")).select("node", "root")
     first = groups.join(reps.select("node", "head"), "node").groupBy("root").agg(F.min("head").alias("first"))
