@@ -169,8 +169,8 @@ ROW = "__row"
 
 
 def numbered(documents: DataFrame) -> DataFrame:
-    """``documents`` with a number for each row, the same whenever the same files are read."""
-    return documents.withColumn(ROW, F.monotonically_increasing_id())
+    """``documents`` with a number for each row, written once: a second scan of the same files may split and number them otherwise."""
+    return stored(documents.withColumn(ROW, F.monotonically_increasing_id()))
 
 
 def signatures(documents: DataFrame, n: int) -> DataFrame:
@@ -356,7 +356,7 @@ def grouped(documents: DataFrame, threshold: float = 0.8, n: int = 5) -> DataFra
 
 
 def near_duplicates(documents: DataFrame, threshold: float = 0.8, n: int = 5) -> DataFrame:
-    """``(doc_id, class_id, n_links, copies, copy_of)`` for each row of ``documents(doc_id, text)``, a table read from files.
+    """``(doc_id, class_id, n_links, copies, copy_of)`` for each row of ``documents(doc_id, text)``.
 
     Words are lower-cased runs of letters, digits and underscores; shingles are ``n`` words, a shorter text being one
     shingle. n_links is the number of other rows with a Jaccard similarity of ``threshold`` at least; class_id is the
@@ -367,7 +367,7 @@ def near_duplicates(documents: DataFrame, threshold: float = 0.8, n: int = 5) ->
     other columns are left aside. A similar pair can be missed if no band matches or its values fall far below its
     similarity: at the threshold itself about 3 pairs in a million, and steeply fewer above it.
     """
-    return grouped(numbered(documents), threshold, n).drop(ROW, "kept")
+    return grouped(numbered(documents.select("doc_id", "text")), threshold, n).drop(ROW, "kept")
 
 
 def deduplicate(documents: DataFrame, threshold: float = 0.8, n: int = 5) -> DataFrame:

@@ -145,14 +145,25 @@ def find_spans(documents: DataFrame) -> DataFrame:
     ``documents``, also for repeated ones; other columns stay. An empty table gives an empty one.
     """
     rest = documents.drop("base", "spans")
-    keyed = rest.withColumn("__row", F.monotonically_increasing_id())
-    text = F.coalesce(F.col("text"), F.lit(""))
-    holding = keyed.where(text.rlike("[0-9@]")).select("__row", text.alias("text")).withColumn("base", base_spans(F.col("text")))
-    holding = holding.withColumn("tokens", _token_spans(F.col("text"), F.col("base")))
-    contexts = F.transform(F.concat("base", "tokens"), lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["stop"].alias("stop"), s["value"].alias("value"), _contexts(F.col("text"), s).alias("patterns")))
-    found = stored(holding.select("__row", "base", contexts.alias("all"))).where(F.size("all") > 0)
-
-    spans = found.select("__row", F.explode("all").alias("s")).select("__row", "s.*")
+    return _spans_of(rest, rest.columns)
+
+
+def _spans_of(documents: DataFrame, columns: list[str]) -> DataFrame:
+    """``base`` and ``spans`` of each row beside its ``columns``.
+
+    The numbered rows are written once with their entities and read from there: a second scan may number rows otherwise.
+    """
+    none = F.array().cast(SPAN)
+    text, body = F.coalesce(F.col("text"), F.lit("")), F.col("__text")
+    holds = body.rlike("[0-9@]")
+    rows = documents.select(*[F.col(f"`{c}`") for c in columns], text.alias("__text"), F.monotonically_increasing_id().alias("__row"))
+    rows = rows.withColumn("base", F.when(holds, base_spans(body)).otherwise(none))
+    rows = rows.withColumn("__tokens", F.when(holds, _token_spans(body, F.col("base"))).otherwise(none))
+    contexts = F.transform(F.concat("base", "__tokens"), lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["stop"].alias("stop"), s["value"].alias("value"), _contexts(body, s).alias("patterns")))
+    keyed = stored(rows.withColumn("__all", contexts).drop("__text", "__tokens"))
+    found = keyed.where(F.size("__all") > 0)
+
+    spans = found.select("__row", F.explode("__all").alias("s")).select("__row", "s.*")
     seed = F.col("kind") != LEARNED
     edges = stored(spans.select(F.explode("patterns").alias("pattern"), F.lower("value").alias("value"), seed.alias("seed")).groupBy("pattern", "value").agg(F.max("seed").alias("seed")))
     patterns, known = bootstrap(edges)
@@ -160,11 +171,9 @@ def find_spans(documents: DataFrame) -> DataFrame:
     # a value counts where one of the patterns stands around it
     learned = learned.select("__row", "start", "stop", "value", F.explode("patterns").alias("pattern")).join(patterns.select("pattern"), "pattern", "left_semi")
     learned = learned.groupBy("__row", "start").agg(F.max("stop").alias("stop"), F.max("value").alias("value"))
-    added = learned.groupBy("__row").agg(F.array_sort(F.collect_list(F.struct(F.lit(LEARNED).alias("kind"), "start", "stop", "value"))).alias("added"))
-    none = F.array().cast(SPAN)
-    both = found.select("__row", "base").join(added, "__row", "left").select("__row", "base", F.concat("base", F.coalesce("added", none)).alias("spans"))
-    whole = keyed.join(both, "__row", "left")
-    return whole.withColumns({"base": F.coalesce("base", none), "spans": F.coalesce("spans", none)}).select(*[F.col(f"`{c}`") for c in rest.columns], "base", "spans")
+    added = learned.groupBy("__row").agg(F.array_sort(F.collect_list(F.struct(F.lit(LEARNED).alias("kind"), "start", "stop", "value"))).alias("__added"))
+    whole = keyed.join(added, "__row", "left").withColumn("spans", F.concat("base", F.coalesce("__added", none)))
+    return whole.select(*[F.col(f"`{c}`") for c in columns], "base", "spans")
 
 
 def joined(spans: Column) -> Column:
@@ -187,7 +196,7 @@ def masked(text: Column, spans: Column) -> Column:
 
 def digests(documents: DataFrame) -> DataFrame:
     """``(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans)`` of what find_spans returns."""
-    found = find_spans(documents.select("doc_id", "text"))
+    found = _spans_of(documents.select("doc_id", "text"), ["doc_id"])
 
     def count(kind: str) -> Column:
         return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")

@@ -72,6 +72,34 @@ def test_join(spark, tmp_path, monkeypatch, cell):
     assert len(ids) == len({c for _, c, _ in want}) and sorted(i for i in ids if i is not None) == sorted({c for _, c, _ in want})
 
 
+def test_scans_that_split_files_otherwise(spark, tmp_path, monkeypatch):
+    rows = corpus()
+    for i in range(6):
+        spark.createDataFrame(rows[i::6], "doc_id long, text string").coalesce(1).write.mode("append").parquet(f"{tmp_path}/d")
+    docs = spark.read.parquet(f"{tmp_path}/d")
+    split = lambda n: spark.conf.set("spark.sql.files.minPartitionNum", n)
+
+    def fewer_cores(edges):  # between the scan for signatures and the one for sets
+        split(1)
+        return components(edges)
+
+    monkeypatch.setattr(jaccard_join, "components", fewer_cores)
+    key = lambda r: (r[0] is None, r[0] or 0, r[1] is None, r[1] or 0, r[2])
+    want = sorted(((doc, c, n) for (doc, _), (c, n) in zip(rows, groups(rows), strict=True)), key=key)
+    try:
+        split(12)
+        numbers = docs.rdd.getNumPartitions()
+        split(1)
+        assert spark.read.parquet(f"{tmp_path}/d").rdd.getNumPartitions() < numbers
+        split(12)
+        assert sorted(((r.doc_id, r.class_id, r.n_links) for r in jaccard_join.near_duplicates(docs).collect()), key=key) == want
+        split(12)
+        ids = sorted(r.doc_id for r in jaccard_join.deduplicate(docs).collect() if r.doc_id is not None)
+        assert ids == sorted({c for _, c, _ in want})
+    finally:
+        spark.conf.unset("spark.sql.files.minPartitionNum")
+
+
 def test_empty(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string").write.parquet(f"{tmp_path}/d")
     assert jaccard_join.near_duplicates(spark.read.parquet(f"{tmp_path}/d")).count() == 0
