@@ -38,17 +38,52 @@ def edge_split(edges: DataFrame, seed: int = 42, most: int | None = None) -> Dat
 def negative_samples(vertices: DataFrame, edges: DataFrame, positives: DataFrame, seed: int = 42, tries: int = 8) -> DataFrame:
     """``(from_id, to_id, split)``: for each positive one pair of its smaller end that is no edge, the first of ``tries`` hash-chosen ends.
 
-    Ends are drawn from the sorted ids by number, so nothing is crossed. A positive whose tries all fail has none.
+    Ends are drawn from the sorted ids by number, so nothing is crossed. Where all tries fail, the end is drawn among
+    the persons that the smaller end is not joined to; if there are none, a hash-chosen person that has some takes its
+    place, and in a complete graph the pair is any one.
     """
     # ids to numbers, by buckets of the id's hash rather than in one task
     numbered = _numbered(vertices)
     n = vertices.count()
-    pick = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), "from_id", "to_id", F.col("t").cast("string"))), 1, 12), 16, 10).cast("long") % F.lit(max(1, n))
-    drawn = positives.select("from_id", "to_id", "split", F.explode(F.sequence(F.lit(1), F.lit(tries))).alias("t")).withColumn("number", pick)
+    pick = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), "from_id", "to_id", F.col("t").cast("string"))), 1, 12), 16, 10).cast("long")
+    drawn = positives.select("from_id", "to_id", "split", F.explode(F.sequence(F.lit(1), F.lit(tries))).alias("t")).withColumn("number", pick % F.lit(max(1, n)))
     pairs = drawn.join(numbered, "number").where("person_id <> from_id").select("from_id", "to_id", "split", "t", F.least("from_id", "person_id").alias("u"), F.greatest("from_id", "person_id").alias("v"))
     free = pairs.join(edges.select(F.col("from_id").alias("u"), F.col("to_id").alias("v")), ["u", "v"], "left_anti")
-    first = free.groupBy("from_id", "to_id", "split").agg(F.min(F.struct("t", "u", "v")).alias("x"))
-    return first.select(F.col("x.u").alias("from_id"), F.col("x.v").alias("to_id"), "split")
+    first = stored(free.groupBy("from_id", "to_id", "split").agg(F.min(F.struct("t", "u", "v")).alias("x")).select("from_id", "to_id", "split", "x.u", "x.v"))
+    left = positives.select("from_id", "to_id", "split").distinct().join(first, ["from_id", "to_id", "split"], "left_anti")
+    left = stored(left.withColumn("t", F.lit(tries + 1)).withColumn("r", pick).withColumn("t", F.lit(tries + 2)).withColumn("q", pick).drop("t"))
+    out = first.select(F.col("u").alias("from_id"), F.col("v").alias("to_id"), "split")
+    return out if n < 2 or left.isEmpty() else out.unionByName(_free_pairs(vertices, edges, stored(numbered), n, left))
+
+
+def _free_pairs(vertices: DataFrame, edges: DataFrame, numbered: DataFrame, n: int, left: DataFrame) -> DataFrame:
+    """``(from_id, to_id, split)``: a pair for each row of ``left(from_id, to_id, split, r, q)``, r and q being its random numbers.
+
+    Of the f persons that an end is not joined to, the one of place r modulo f is taken. Its number is that place plus
+    the joined ones before it, which one sort of an end's neighbours and rows counts for all of its rows.
+    """
+    near = adjacency(edges).select(F.col("src").alias("base"), F.col("dst").alias("person_id")).unionByName(vertices.select(F.col("person_id").alias("base"), "person_id")).distinct()
+    taken = stored(near.join(numbered, "person_id").select("base", "number"))
+    counts = taken.groupBy("base").agg(F.count("*").alias("taken"))
+    some = stored(_numbered(vertices.join(counts.where(F.col("taken") < n).withColumnRenamed("base", "person_id"), "person_id", "left_semi")))
+    m = some.count()
+    own = left.join(counts.withColumnRenamed("base", "from_id"), "from_id", "left").withColumn("taken", F.coalesce("taken", F.lit(0)))
+    full = own.where(F.col("taken") >= n).drop("taken")
+    asked = own.where(F.col("taken") < n).select("from_id", "to_id", "split", "r", F.col("from_id").alias("base"), "taken")
+    if m:
+        moved = full.withColumn("number", F.col("q") % m).join(some, "number").withColumnRenamed("person_id", "base").join(counts, "base")
+        asked = asked.unionByName(moved.select("from_id", "to_id", "split", "r", "base", "taken"))
+    asked = stored(asked.select("base", (F.col("r") % (n - F.col("taken"))).alias("place"), F.lit(1).alias("ask"), "split"))
+    before = F.row_number().over(Window.partitionBy("base").orderBy("number")) - 1
+    joined = taken.join(asked, "base", "left_semi").select("base", (F.col("number") - before).alias("place"), F.lit(0).alias("ask"), F.lit(None).cast("string").alias("split"))
+    passed = F.sum(1 - F.col("ask")).over(Window.partitionBy("base").orderBy("place", "ask").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    found = joined.unionByName(asked).withColumn("number", F.col("place") + passed).where("ask = 1").join(numbered, "number").select("base", "person_id", "split")
+    if not m:
+        # r and q give two different numbers
+        a, b = F.col("r") % n, F.col("q") % (n - 1)
+        two = full.select("split", a.alias("number"), (b + (b >= a).cast("int")).alias("other")).join(numbered, "number").withColumnRenamed("person_id", "base").drop("number")
+        found = found.unionByName(two.withColumnRenamed("other", "number").join(numbered, "number").select("base", "person_id", "split"))
+    return found.select(F.least("base", "person_id").alias("from_id"), F.greatest("base", "person_id").alias("to_id"), "split")
 
 
 def _numbered(vertices: DataFrame) -> DataFrame:

@@ -100,3 +100,18 @@ def test_files(spark, tmp_path):
     assert made == [1] and not tables.PhaseStore(spark, str(tmp_path), {"seed": 2}).done("p1", ["t"])
     tables.save_weights(spark, [np.eye(2)], f"{tmp_path}/w")
     assert np.array_equal(tables.load_weights(spark, f"{tmp_path}/w")[0], np.eye(2))
+
+
+def test_every_positive_has_a_negative(spark):
+    persons = spark.range(1, 61).withColumnRenamed("id", "person_id")
+    hub = [(1, i) for i in range(2, 61)] + [(2, i) for i in range(3, 58)] + [(i, i + 1) for i in range(10, 40)]  # 1 is joined to all, 2 to all but three
+    for pairs in (hub, [(i, j) for i in range(1, 61) for j in range(i + 1, 61)]):
+        edges = spark.createDataFrame(pairs, "from_id long, to_id long")
+        split = edges.withColumn("split", F.when(F.col("to_id") % 3 == 0, "test").otherwise("train"))
+        found = links.negative_samples(persons, edges, split, 42)
+        rows = [(r.from_id, r.to_id) for r in found.collect()]
+        assert len(rows) == len(pairs) and all(1 <= u < v <= 60 for u, v in rows)
+        if pairs is hub:
+            assert not set(rows) & set(pairs)
+            assert {(2, 58), (2, 59), (2, 60)} <= set(rows)
+        assert {r["split"]: r["count"] for r in found.groupBy("split").count().collect()} == {r["split"]: r["count"] for r in split.groupBy("split").count().collect()}
