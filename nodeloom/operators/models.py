@@ -12,8 +12,9 @@ from nodeloom.operators.features import priority_features, robust_scaled, rule_r
 from nodeloom.operators.graph import adjacency
 from nodeloom.operators.store import stored
 
-#: Points that density clustering may gather in one task; more are refused.
+#: Points whose spanning tree one task builds; that of more takes rounds over blocks of BLOCK points against all.
 MOST_POINTS = 20_000
+BLOCK, STRIP = 1024, 4096
 NOISE = -1
 
 
@@ -44,11 +45,28 @@ def hdbscan_labels(points: np.ndarray, least: int = 3, epsilon: float = 0.01) ->
     noise; a part that no longer splits in two is a leaf. A leaf born at a distance under ``epsilon`` goes up to the
     first ancestor that is not. One cluster of everything is none.
     """
+    return leaf_labels(len(points), dense_tree(points), least, epsilon)
+
+
+def roots_of(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """The smallest member of each of n points' part under the edges a-b."""
+    parent = list(range(n))
+
+    def find(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for x, y in zip(a.tolist(), b.tolist(), strict=True):
+        x, y = find(x), find(y)
+        parent[max(x, y)] = min(x, y)
+    return np.array([find(x) for x in range(n)], dtype=np.int64)
+
+
+def dense_tree(points: np.ndarray) -> list[tuple[float, int, int]]:
+    """The minimum spanning tree's edges (distance, a, b), by Prim over dense distances."""
     n = len(points)
-    labels = np.full(n, NOISE)
-    if n < 2 * least:
-        return labels
-    # Prim over dense distances
     near, parent, done = np.full(n, np.inf), np.zeros(n, int), np.zeros(n, bool)
     at, edges = 0, []
     for _ in range(n - 1):
@@ -58,7 +76,61 @@ def hdbscan_labels(points: np.ndarray, least: int = 3, epsilon: float = 0.01) ->
         near[closer], parent[closer] = d[closer], at
         at = int(np.where(done, np.inf, near).argmin())
         edges.append((near[at], parent[at], at))
-    edges.sort()
+    return edges
+
+
+def _nearest_outside(points: np.ndarray, part: np.ndarray, start: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distance and number of the nearest point of another part, ties to the smaller number, for the block at ``start``."""
+    own, mine = points[start : start + BLOCK], part[start : start + BLOCK]
+    best, at = np.full(len(own), np.inf), np.zeros(len(own), np.int64)
+    for a in range(0, len(points), STRIP):
+        d = np.zeros((len(own), len(points[a : a + STRIP])))
+        for k in range(points.shape[1]):
+            d += (own[:, None, k] - points[None, a : a + STRIP, k]) ** 2
+        d[mine[:, None] == part[None, a : a + STRIP]] = np.inf
+        first = d.argmin(axis=1)
+        low = d[np.arange(len(own)), first]
+        closer = low < best
+        best[closer], at[closer] = low[closer], first[closer] + a
+    return np.sqrt(best), at
+
+
+def spanning_tree(spark, points: np.ndarray) -> list[tuple[float, int, int]]:
+    """The minimum spanning tree's edges (distance, a, b), a < b, in rounds (Boruvka): each part takes its least edge to another.
+
+    Tasks compare blocks with all points, so memory is in proportion to the points; at least half the parts go in a round.
+    Edges are in a strict order by (distance, a, b), so equal distances make no circle.
+    """
+    n = len(points)
+    part, edges = np.arange(n), []
+    held = spark.sparkContext.broadcast(points)
+    blocks = -(-n // BLOCK)
+    while len(edges) < n - 1:
+        parts = spark.sparkContext.broadcast(part)
+
+        def least_edges(batches, parts=parts):
+            for batch in batches:
+                for block in batch.column(0).to_pylist():
+                    d, other = _nearest_outside(held.value, parts.value, block * BLOCK)
+                    own = np.arange(block * BLOCK, block * BLOCK + len(d))
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (parts.value[own], d, np.minimum(own, other), np.maximum(own, other))], names=["part", "d", "a", "b"])
+
+        found = spark.range(0, blocks, 1, min(blocks, 4 * spark.sparkContext.defaultParallelism)).mapInArrow(least_edges, "part long, d double, a long, b long")
+        least = found.groupBy("part").agg(F.min(F.struct("d", "a", "b")).alias("e")).select("e.*").distinct().toArrow()
+        d, a, b = (least[c].to_numpy() for c in ("d", "a", "b"))
+        edges += zip(d.tolist(), a.tolist(), b.tolist(), strict=True)
+        part = roots_of(np.concatenate([part, a]), np.concatenate([np.arange(n), b]), n)
+        parts.destroy()
+    held.destroy()
+    return edges
+
+
+def leaf_labels(n: int, edges: list[tuple[float, int, int]], least: int, epsilon: float) -> np.ndarray:
+    """hdbscan_labels of n points from their minimum spanning tree."""
+    labels = np.full(n, NOISE)
+    if n < 2 * least:
+        return labels
+    edges = sorted(edges)
     # single linkage: node n + i joins two earlier ones at edges[i][0]
     root, size, child, height = list(range(2 * n - 1)), [1] * n + [0] * (n - 1), {}, {}
 
@@ -111,9 +183,12 @@ def hdbscan_labels(points: np.ndarray, least: int = 3, epsilon: float = 0.01) ->
 
 
 def hdbscan_clusters(scaled: DataFrame, columns: list[str], least: int = 3, epsilon: float = 0.01) -> DataFrame:
-    """``(person_id, cluster)``; the hierarchy needs all points, so at most MOST_POINTS go to one task."""
+    """``(person_id, cluster)``. Beyond MOST_POINTS the tree is built by all tasks, and the hierarchy from its n - 1 edges on the driver."""
     if scaled.count() > MOST_POINTS:
-        raise ValueError(f"more than {MOST_POINTS} points")
+        rows = scaled.select("person_id", *[F.col(c).cast("double").alias(c) for c in columns]).orderBy("person_id").toArrow()
+        edges = spanning_tree(scaled.sparkSession, np.column_stack([rows[c].to_numpy() for c in columns]))
+        labels = leaf_labels(rows.num_rows, edges, least, epsilon)
+        return scaled.sparkSession.createDataFrame(pa.table({"person_id": rows["person_id"], "cluster": pa.array(labels, pa.int32())}))
 
     def cluster(batch: pa.Table) -> pa.Table:
         batch = batch.sort_by("person_id")
@@ -165,12 +240,9 @@ def infer_roles(features: DataFrame, persons: DataFrame, method: str = "rules",
         scaled = stored(robust_scaled(features.select("person_id", *columns), columns))
         if method == "supervised":
             return forest_roles(scaled, persons, columns).drop("confidence")
-        found = None
-        if scaled.count() <= MOST_POINTS:
-            found = stored(hdbscan_clusters(scaled, columns))
-            if found.where(F.col("cluster") != NOISE).select("cluster").distinct().count() < 4:
-                found = None
-        return cluster_roles(found if found is not None else kmeans_clusters(scaled, columns), persons)
+        found = stored(hdbscan_clusters(scaled, columns))
+        few = found.where(F.col("cluster") != NOISE).select("cluster").distinct().count() < 4
+        return cluster_roles(kmeans_clusters(scaled, columns) if few else found, persons)
     if method != "rules" and not compat:
         raise ValueError(f"unknown method {method!r}")
     return rule_roles(features)

@@ -115,3 +115,24 @@ def test_every_positive_has_a_negative(spark):
             assert not set(rows) & set(pairs)
             assert {(2, 58), (2, 59), (2, 60)} <= set(rows)
         assert {r["split"]: r["count"] for r in found.groupBy("split").count().collect()} == {r["split"]: r["count"] for r in split.groupBy("split").count().collect()}
+
+
+def test_density_clusters_beyond_one_task(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    points = np.concatenate([rng.normal(c, 0.3, (60, 2)) for c in ((0, 0), (6, 0), (0, 6), (6, 6), (12, 3))] + [np.zeros((20, 2))])
+    df = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(points)], "person_id long, degree double, betweenness double")
+    for name, value in (("MOST_POINTS", 50), ("BLOCK", 64), ("STRIP", 100)):
+        monkeypatch.setattr(models, name, value)
+    edges = models.spanning_tree(spark, points)
+    assert len(edges) == len(points) - 1 and sum(e[0] for e in edges) == pytest.approx(sum(e[0] for e in models.dense_tree(points)))
+    got = {r.person_id: r.cluster for r in models.hdbscan_clusters(df, ["degree", "betweenness"], 10, 0.5).collect()}
+    want = models.hdbscan_labels(points, 10, 0.5).tolist()
+    assert len(set(want) - {-1}) == 5 and len(set(zip((got[i] for i in range(len(points))), want, strict=True))) == len(set(want))
+
+    def none(*_):
+        raise AssertionError("k-means in place of density clusters")
+
+    monkeypatch.setattr(models, "kmeans_clusters", none)
+    persons = spark.range(len(points)).select(F.col("id").alias("person_id"), F.lit("Broker").alias("role"))
+    roles = models.infer_roles(df, persons, "enhanced_clustering").collect()
+    assert len(roles) == len(points)
