@@ -9,9 +9,11 @@ back. The result is the one sequence in which all neighbours may, which is the l
 from __future__ import annotations
 
 import functools
+import hashlib
+import operator
 import re
 import struct
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import ahocorasick
 import numpy as np
@@ -28,6 +30,8 @@ NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 BPE = 2
 MOST_CACHED, MOST_PAIRS = 120_000, 1 << 19
 SLICE = 1 << 20
+#: Characters that often end a word.
+MARKS = ".,;:!?*$%&#)\"'"
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes | float]]:
@@ -86,35 +90,42 @@ class PieceModel:
         self.byte = {int(t[3:-1], 16): i for i, (t, k) in enumerate(zip(self.text, self.kind, strict=True)) if k == BYTE}
         self.automaton = ahocorasick.Automaton()
         for t, i in self.id.items():
-            self.automaton.add_word(t, (i, len(t)))
+            self.automaton.add_word(t, (i, len(t) - 1))
         self.automaton.make_automaton()
+        order = sorted(set(self.score), reverse=True)
+        place = {x: n for n, x in enumerate(order)}
+        #: Places of pieces in order of their scores, and what stands for none.
+        self.rank, self.none = [place[x] for x in self.score], len(order)
         #: Neighbours of which no piece holds both can be cut apart. In the text, spaces are cut from what precedes them
         #: and line breaks from all, if the pieces allow it; ``joined`` has the neighbours that some piece holds.
         self.joined = {t[i : i + 2] for t in self.id for i in range(len(t) - 1)}
-        self.known = {c for t in self.id for c in t}
         loose = not any(p[1] == SPACE != p[0] for p in self.joined)
-        lines = "\n" not in self.known
+        lines = not any("\n" in t for t in self.id)
+        self.loose = loose
+        self.lines = lines
+        self.parts = re.compile(f"{SPACE}+[^{SPACE}\n]*|\n[^{SPACE}\n]*" if lines else f"{SPACE}+[^{SPACE}]*")
         self.segment = re.compile((f"\n|{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+" if lines else f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+") if loose else r"(?s).+")
         self.fits: dict[int, bool] = {}
         self.length = [len(t) for t in self.text]
-        self.shorter: dict[int, int] = {}
-        self.cache = _Cache(self)
+        #: For each piece, the longest piece that is a proper prefix of it, or -1.
+        self.shorter = [next((self.id[t[:n]] for n in range(len(t) - 1, 0, -1) if t[:n] in self.id), -1) for t in self.text]
+        self.shown = [t.replace(SPACE, " ").encode() if k == NORMAL else None for t, k in zip(self.text, self.kind, strict=True)]
+        self.digits = [b"%d," % i for i in range(len(self.text))]
+        self.caches: dict[Callable, _Cache] = {}
 
     def merged(self, text: str) -> list[str]:
         """The encoding of ``text`` by merges: the highest score first, then the leftmost."""
         parts = list(text)
-        ids, score = self.id, self.score
-        found = [ids.get(a + b, -1) for a, b in zip(parts, parts[1:], strict=False)]
-        while found:
-            best, at = max((score[f], -i) for i, f in enumerate(found) if f >= 0) if max(found) >= 0 else (0, 1)
-            if at > 0:
-                break
-            at = -at
+        ids, rank, none = self.id, self.rank, self.none
+        found = [none if (i := ids.get(a + b)) is None else rank[i] for a, b in zip(parts, parts[1:], strict=False)]
+        while found and (best := min(found)) < none:
+            at = found.index(best)
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
             del found[at]
-            for i in (at - 1, at):
-                if 0 <= i < len(found):
-                    found[i] = ids.get(parts[i] + parts[i + 1], -1)
+            if at:
+                found[at - 1] = none if (i := ids.get(parts[at - 1] + parts[at])) is None else rank[i]
+            if at < len(found):
+                found[at] = none if (i := ids.get(parts[at] + parts[at + 1])) is None else rank[i]
         return parts
 
     def may_follow(self, left: int, right: int) -> bool:
@@ -128,36 +139,31 @@ class PieceModel:
             found = self.fits[key] = self.merged("".join(want)) == want
         return found
 
-    def next_shorter(self, piece: int) -> int:
-        """The longest piece that is a proper prefix of ``piece``, or -1."""
-        found = self.shorter.get(piece)
-        if found is None:
-            t = self.text[piece]
-            found = self.shorter[piece] = next((self.id[t[:n]] for n in range(len(t) - 1, 0, -1) if t[:n] in self.id), -1)
-        return found
-
     def encode_segment(self, text: str) -> list[int]:
         """Ids of a text in which spaces are already marked."""
+        try:
+            return self._backtrack(text)
+        except KeyError:  # a character that is no piece
+            pass
         cuts = [i for i in range(1, len(text)) if text[i - 1 : i + 1] not in self.joined]
         out: list[int] = []
         for a, b in zip([0, *cuts], [*cuts, len(text)], strict=True):
             part = text[a:b]
-            if b - a > 1:
+            if part in self.id or b - a > 1:
                 out += self._backtrack(part)
-            elif part in self.id:
-                out.append(self.id[part])
             else:
                 out += [self.byte[x] for x in part.encode()] if self.byte else [self.unknown]
         return out
 
     def _backtrack(self, text: str) -> list[int]:
         end = len(text)
-        longest: list[int] = [-1] * end
-        reach = [0] * end
+        longest = [-1] * end
+        # matches come by their ends, so the longest from a place comes last
         for stop, (i, n) in self.automaton.iter(text):
-            if n > reach[stop - n + 1]:
-                reach[stop - n + 1], longest[stop - n + 1] = n, i
-        length, fits, many = self.length, self.fits, len(self.text)
+            longest[stop - n] = i
+        if -1 in longest:
+            raise KeyError(text[longest.index(-1)])
+        length, fits, many, shorter = self.length, self.fits, len(self.text), self.shorter
         failed = 0
         taken: list[int] = []
         at, left, piece = 0, -1, longest[0]
@@ -168,7 +174,7 @@ class PieceModel:
                     fit = fits.get(left * many + piece)
                     if fit or fit is None and self.may_follow(left, piece):
                         break
-                piece = self.next_shorter(piece)
+                piece = shorter[piece]
             if piece >= 0:
                 taken.append(piece)
                 at, left = stop, piece
@@ -182,22 +188,46 @@ class PieceModel:
                 left = taken[-1] if taken else -1
         return taken
 
+    def encode_marked(self, text: str) -> list[int]:
+        """Ids of a text in which spaces are already marked."""
+        return [i for segment in self.segment.findall(text) for i in self.encode_segment(segment)]
+
     def encode(self, text: str) -> list[int]:
         """The library's ids of ``text``, without begin and end."""
-        return np.frombuffer(b"".join(self.encoded(text)), np.int32).tolist()
+        return np.frombuffer(b"".join([i for (i,) in self.coded(text, int32)]), np.int32).tolist()
+
+    def coded(self, text: str, form: Callable[[PieceModel, list[int]], tuple[bytes, ...]]) -> list[tuple[bytes, ...]]:
+        """``form`` of the ids of the parts of ``text``, which add up to the text's: words, each with the spaces or the line break before it.
 
-    def encoded(self, text: str) -> Iterable[bytes]:
-        """Ids by segment, 4 bytes each."""
+        Parts are named without their first space mark, so a name that starts with a line break has none.
+        """
         if not text:
             return []
-        marked = text.replace(" ", SPACE)
-        return map(self.cache.__getitem__, self.segment.findall(SPACE + marked if self.prefix else marked))
-
-    def decode(self, ids: Iterable[int]) -> str:
-        """The library's text of ``ids``: control pieces are empty, bytes that are no UTF-8 become U+FFFD one by one."""
+        cache = self.caches.get(form)
+        if cache is None:
+            cache = self.caches[form] = _Cache(self, form)
+        if not self.prefix or not self.loose:
+            return [form(self, self.encode_marked((SPACE if self.prefix else "") + text.replace(" ", SPACE)))]
+        if "  " in text or text[0] == " " or SPACE in text:
+            parts = self.parts.findall(SPACE + text.replace(" ", SPACE))
+            return [cache[part[1:] if part[0] == SPACE else part] for part in parts]
+        return list(map(cache.__getitem__, (text.replace("\n", " \n") if self.lines else text).split(" ")))
+
+    def inner_text(self, ids: list[int]) -> bytes:
+        """The text of ids inside a text, in UTF-8; most are pieces that stand for themselves."""
+        try:
+            return b"".join(map(self.shown.__getitem__, ids))
+        except TypeError:
+            return self.decode(ids, False).encode()
+
+    def decode(self, ids: Iterable[int], first: bool = True) -> str:
+        """The library's text of ``ids``: control pieces are empty, bytes that are no UTF-8 become U+FFFD one by one.
+
+        Without ``first`` they stand inside a text, where no added space goes.
+        """
         out: list[str] = []
         held = bytearray()
-        fresh = self.prefix  # the mark of the added space is still due
+        fresh = self.prefix and first  # the mark of the added space is still due
 
         def flush() -> None:
             if held:
@@ -223,23 +253,53 @@ class PieceModel:
 
 
 class _Cache(dict):
-    """Encodings of segments in two generations: when one is full, the one before it goes."""
+    """``form`` of parts' ids by name, in two generations: when one is full, the one before it goes."""
 
-    def __init__(self, model: PieceModel):
-        self.model = model
-        self.old: dict[str, bytes] = {}
+    def __init__(self, model: PieceModel, form: Callable):
+        self.model, self.form = model, form
+        self.old: dict[str, tuple[bytes, ...]] = {}
 
-    def __missing__(self, segment: str) -> bytes:
-        found = self.old.get(segment)
+    def __missing__(self, word: str) -> tuple[bytes, ...]:
+        found = self.old.get(word)
         if found is None:
-            found = np.array(self.model.encode_segment(segment), np.int32).tobytes()
-        if len(segment) <= 64:
+            found = self._made(word)
+        if len(word) < 64:
             if len(self) >= MOST_CACHED:
                 self.old = dict(self)
                 self.clear()
-            self[segment] = found
+            self[word] = found
         return found
 
+    def _made(self, word: str) -> tuple[bytes, ...]:
+        own = self.model
+        if word[:1] == "\n" and own.lines:
+            return self.form(own, own.encode_marked(word))
+        stem = word.rstrip(MARKS)
+        if stem and len(stem) < len(word) and word[len(stem) - 1 : len(stem) + 1] not in own.joined:
+            # marks that no piece joins to the word are parts of their own, and the word is met without them more often
+            return tuple(map(operator.add, self[stem], self.form(own, own.encode_segment(word[len(stem) :]))))
+        return self.form(own, own.encode_segment(SPACE + word))
+
+
+def int32(own: PieceModel, ids: list[int]) -> tuple[bytes]:
+    """Ids as 4 bytes each."""
+    return (struct.pack(f"<{len(ids)}i", *ids),)
+
+
+def decimal(own: PieceModel, ids: list[int]) -> tuple[bytes, bytes]:
+    """Ids as decimals, a comma after each, and their text in UTF-8."""
+    return b"".join(map(own.digits.__getitem__, ids)), own.inner_text(ids)
+
+
+def int32_and_text(own: PieceModel, ids: list[int]) -> tuple[bytes, bytes]:
+    return *int32(own, ids), own.inner_text(ids)
+
+
+def whole_text(own: PieceModel, parts: list[tuple[bytes, bytes]]) -> bytes:
+    """The parts' text, without the space that the model adds in front."""
+    text = b"".join([t for _, t in parts])
+    return text[1:] if own.prefix and text[:1] == b" " else text
+
 
 def _utf8(data: bytes) -> str:
     try:
@@ -265,6 +325,11 @@ def model(path: str) -> PieceModel:
     return PieceModel(path)
 
 
+def id_lists(parts: list[bytes]) -> pa.ListArray:
+    ends = np.cumsum([0, *(len(p) // 4 for p in parts)], dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(parts), np.int32)))
+
+
 def encode(documents: DataFrame, path: str) -> DataFrame:
     """``documents`` with a column ``ids array<int>`` of the model at ``path``, in place of one of that name.
 
@@ -281,9 +346,7 @@ def encode(documents: DataFrame, path: str) -> DataFrame:
         def each(batch: pa.RecordBatch):
             texts = texts_of(batch.column(at))
             for a, b in slices([len(t) for t in texts], SLICE):
-                parts = [b"".join(own.encoded(t)) for t in texts[a:b]]
-                ends = np.cumsum([0, *(len(p) // 4 for p in parts)], dtype=np.int32)
-                ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(parts), np.int32)))
+                ids = id_lists([b"".join([i for (i,) in own.coded(t, int32)]) for t in texts[a:b]])
                 yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns, ids], names=[*batch.schema.names, "ids"])
 
         return each
@@ -339,8 +402,49 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     return arrow_map(rest, schema, make)
 
 
+def round_trip(documents: DataFrame, path: str) -> DataFrame:
+    """``documents`` with ``ids`` and ``decoded`` as of encode and decode, from one pass over the texts."""
+    rest = documents.drop("ids", "decoded")
+    schema = T.StructType([*rest.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())])
+    at = rest.columns.index("text")
+
+    def make():
+        own = model(path)
+
+        def each(batch: pa.RecordBatch):
+            texts = texts_of(batch.column(at))
+            for a, b in slices([len(t) for t in texts], SLICE):
+                coded = [own.coded(t, int32_and_text) for t in texts[a:b]]
+                ids = id_lists([b"".join([i for i, _ in parts]) for parts in coded])
+                text = pa.array([whole_text(own, parts) for parts in coded], pa.binary()).cast(pa.string())
+                yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns, ids, text], names=[*batch.schema.names, "ids", "decoded"])
+
+        return each
+
+    return arrow_map(rest, schema, make)
+
+
 def encode_digests(documents: DataFrame, path: str) -> DataFrame:
-    """``(doc_id, n_tokens, ids_sha256, decoded_sha256)``: digests of what encode and decode return."""
-    whole = decode(encode(documents.select(F.col("doc_id").cast("long"), "text"), path).drop("text"), path)
-    joined = F.array_join(F.col("ids").cast("array<string>"), ",")
-    return whole.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(joined, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    """``(doc_id, n_tokens, ids_sha256, decoded_sha256)`` of each row of ``documents(doc_id, text)``: digests of what round_trip returns.
+
+    ids_sha256 is of the decimal ids joined by commas, decoded_sha256 of the decoded text in UTF-8. Null and empty texts
+    have no ids, so both are digests of the empty string. Repeated rows give repeated rows, an empty table an empty one;
+    other columns are left aside. Texts, ids and decoded texts stay in one task; a word's share of both is kept under a bound.
+    """
+
+    def make():
+        own = model(path)
+
+        def each(batch: pa.RecordBatch):
+            many, ids, decoded = [], [], []
+            for text in texts_of(batch.column(1)):
+                parts = own.coded(text, decimal)
+                joined = b"".join([i for i, _ in parts])
+                many.append(joined.count(b","))
+                ids.append(hashlib.sha256(joined[:-1]).hexdigest())
+                decoded.append(hashlib.sha256(whole_text(own, parts)).hexdigest())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(many, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+        return each
+
+    return arrow_map(documents.select(F.col("doc_id").cast("long"), "text"), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", make)

@@ -1,8 +1,11 @@
 """Token counts, encodings and decodings against the public libraries."""
 
+import hashlib
+import os
 import random
 
 import public_tokenizers
+import pytest
 import sentencepiece
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -76,3 +79,32 @@ def test_queries(spark):
     both = piece_bpe.decode(piece_bpe.encode(docs, PIECES), PIECES).collect()
     assert all(r.ids == processor.encode(r.text or "") and r.decoded == (r.text or "") for r in both) and len(both) == 5
     assert piece_bpe.encode_digests(docs.where("false"), PIECES).count() == token_count.count_tokens(docs.where("false"), WORDS).count() == 0
+
+
+def digests(text):
+    ids = processor.encode(text or "")
+    return len(ids), *(hashlib.sha256(x.encode()).hexdigest() for x in (",".join(map(str, ids)), processor.decode(ids)))
+
+
+def test_digests_and_round_trip(spark, monkeypatch):
+    monkeypatch.setattr(piece_bpe, "MOST_CACHED", 50)
+    random.seed(5)
+    odd = ["".join(random.choice(ALPHABET) for _ in range(random.randint(0, 200))) for _ in range(300)]
+    texts = [*ODD, None, "\nx", " \nx", "a \n b\n\nc.\n", "  a  b", "word.*** word", "x" * 200_000, *odd, "same", "same"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").selectExpr("*", "'x' AS n_tokens", "1 AS decoded", "2 AS ids")
+    got = piece_bpe.encode_digests(docs, PIECES).collect()
+    assert len(got) == len(texts) and all((r.n_tokens, r.ids_sha256, r.decoded_sha256) == digests(texts[r.doc_id]) for r in got)
+    both = piece_bpe.round_trip(docs, PIECES)
+    assert sorted(both.columns) == ["decoded", "doc_id", "ids", "n_tokens", "text"]
+    assert all(r.n_tokens == "x" and r.ids == processor.encode(r.text or "") and r.decoded == processor.decode(r.ids) for r in both.collect())
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="the driver's tables are not here")
+def test_documents_against_the_libraries(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    text = {r.doc_id: r.text for r in docs.collect()}
+    got = piece_bpe.encode_digests(docs, PIECES).collect()
+    assert len(got) == docs.count() and all((r.n_tokens, r.ids_sha256, r.decoded_sha256) == digests(text[r.doc_id]) for r in got)
+    ids = sorted(text)
+    want = dict(zip(ids, (len(e.ids) for e in library.encode_batch([text[i] or "" for i in ids], add_special_tokens=False)), strict=True))
+    assert {r.doc_id: r.n_tokens for r in token_count.count_tokens(docs, WORDS).collect()} == want
