@@ -41,7 +41,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of each document, and whether decoding them gives its text back (a literal piece mark decodes to a space)."""
     path = public_tokenizers.path("piece_bpe_32k.model")
-    both = piece_bpe.decode(piece_bpe.encode(docs.select("doc_id", "text", "lang", "source"), path), path)
+    both = piece_bpe.round_trip(docs.select("doc_id", "text", "lang", "source"), path)
     same = F.col("decoded") == F.translate(F.coalesce("text", F.lit("")), piece_bpe.SPACE, " ")
     return both.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", same.alias("round_trip"))
 
