@@ -20,9 +20,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: the cluster's ``spark.checkpoint.dir``; a temporary one only where that is unset (tests)."""
+    """The folder that all executors share: the cluster's ``spark.checkpoint.dir``; a temporary one only where all run on one machine (tests)."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir is not set: it has to name a folder that all executors share")
         at = f"file://{tempfile.mkdtemp(prefix='nodeloom-')}"
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
@@ -36,7 +39,49 @@ def stored(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     at = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(at)
-    return spark.read.schema(df.schema).parquet(at)
+    out = spark.read.schema(df.schema).parquet(at)
+    out.stored_at = at
+    return out
+
+
+def released(df: DataFrame) -> None:
+    """Deletes the files of a table that ``stored`` returned and that nothing reads any more."""
+    jvm = df.sparkSession._jvm
+    at = jvm.org.apache.hadoop.fs.Path(df.stored_at)
+    at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def free_name(name: str, columns: list[str]) -> str:
+    """``name``, lengthened until no column is called so."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+#: Rows of a key from which on it may be a hot one.
+LEAST_HOT = 256
+
+
+def joined_to_keys(rows: DataFrame, keyed: DataFrame, key: str, n: str, total: int, how: str = "left") -> DataFrame:
+    """``rows`` joined with ``keyed``, which has one row for each key and says in ``n`` how many of the ``total`` rows have it.
+
+    Rows of a hot key would all meet in one task. Hot keys have more than LEAST_HOT rows and more than an eighth of an
+    even partition's, so there are at most eight times as many as partitions; they go to the rows, the others by
+    shuffle. Null keys are left out of the join. ``keyed`` is read three times and ``rows`` as often.
+    """
+    spark = rows.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    bound = max(LEAST_HOT, total // (8 * parts))
+    hot = keyed.where(F.col(n) > bound)
+    known = rows.where(F.col(key).isNotNull())
+    sent = known.join(F.broadcast(hot), key, "inner")
+    rest = known.join(F.broadcast(hot.select(key)), key, "left_anti").join(keyed.where(F.col(n) <= bound), key, how)
+    out = sent.unionByName(rest.select(sent.columns))
+    if how == "left":
+        extra = [F.lit(None).cast(f.dataType).alias(f.name) for f in keyed.schema.fields if f.name != key]
+        out = out.unionByName(rows.where(F.col(key).isNull()).select("*", *extra).select(sent.columns))
+    return out
 
 
 def give_back() -> None:
@@ -102,21 +147,26 @@ def roots_of(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """Connected components of ``edges(a, b)``: ``(node, root)`` for every vertex of an edge, root the smallest vertex.
 
-    Alternates large-star and small-star steps (Kiveris et al., 2014). Each step is one aggregation by vertex;
-    the edges are written between rounds, so no lineage builds up. An empty table gives an empty one.
+    Alternates large-star and small-star steps (Kiveris et al., 2014). Each step is one aggregation by vertex, and a
+    vertex with many edges goes to them rather than they to it. The edges are written between rounds, so no lineage
+    builds up; a round's tables go when the next one's are there. An empty table gives an empty one.
     """
     now = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    many = now.count()
     for _ in range(most_rounds):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        low = stored(both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n"))
+        large = joined_to_keys(both.where("v > u"), low, "u", "n", 2 * many, "inner").select(F.col("v").alias("u"), F.col("m").alias("v"))
         # the rows of low keep each vertex tied to its own smallest neighbour
-        large = large.unionByName(low.where("m < u").select("u", F.col("m").alias("v"))).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        after = stored(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
-        same = after.count() == now.count() and after.join(now, ["u", "v"], "left_anti").isEmpty()
-        now = after
+        large = stored(large.unionByName(low.where("m < u").select("u", F.col("m").alias("v"))).distinct())
+        near = stored(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")))
+        small = joined_to_keys(large, near, "u", "n", 2 * many, "inner").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        after = stored(small.unionByName(near.select("u", F.col("m").alias("v"))).distinct())
+        more = after.count()
+        same = more == many and after.join(now, ["u", "v"], "left_anti").isEmpty()
+        for old in (now, low, large, near):
+            released(old)
+        now, many = after, more
         if same:
             roots = now.groupBy("u").agg(F.min("v").alias("root")).select(F.col("u").alias("node"), "root")
             return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from nodeloom.llm.common import arrow_map, components, roots_of, slices, stored, texts_of
+from nodeloom.llm.common import arrow_map, components, free_name, joined_to_keys, roots_of, slices, stored, texts_of
 
 WORD = re.compile(r"\w+")
 #: Bands and values in each. A pair of similarity s shares a key with probability 1 - (1 - s^4)^24: at 0.8 all but 3 in a million.
@@ -168,9 +168,9 @@ def _many_common(sets_a: list[np.ndarray], sets_b: list[np.ndarray], strip: int
 ROW = "__row"
 
 
-def numbered(documents: DataFrame) -> DataFrame:
+def numbered(documents: DataFrame, name: str = ROW) -> DataFrame:
     """``documents`` with a number for each row, written once: a second scan of the same files may split and number them otherwise."""
-    return stored(documents.withColumn(ROW, F.monotonically_increasing_id()))
+    return stored(documents.withColumn(name, F.monotonically_increasing_id()))
 
 
 def signatures(documents: DataFrame, n: int) -> DataFrame:
@@ -246,19 +246,24 @@ def shingle_sets(documents: DataFrame, rows: DataFrame, n: int) -> DataFrame:
     return arrow_map(numbers, "node binary, shingles binary", make)
 
 
-def met(members: DataFrame, key: str, payload: list[str], plain: DataFrame | None = None) -> DataFrame:
-    """Members of ``key`` dealt into cells, each with every other: ``(key, x, y, cell, node, *payload)``, x <= y.
+def dealt(members: DataFrame, key: str) -> DataFrame:
+    """Members of ``key`` dealt into cells: ``members`` with ``cells``, their number, and ``cell``, the own one.
 
-    ``plain`` has the same members without a payload, if that is cheaper to count.
-
-    A key with m members has about m / CELL cells, and each member goes to each meeting of its cell, so no task gets
-    more than about two cells. Keys with one member go.
+    A key with m members has about m / CELL cells. Keys with one member go; a hot key's number of cells goes to its members.
     """
-    counts = (members if plain is None else plain).groupBy(key).agg(F.count("*").alias("m")).where("m > 1")
+    counts = stored(members.groupBy(key).agg(F.count("*").alias("m")).where("m > 1"))
+    total = counts.agg(F.coalesce(F.sum("m"), F.lit(0)).alias("n")).first()["n"]
     cells = F.ceil(F.col("m") / CELL).cast("int")
-    dealt = members.join(counts, key).withColumn("cells", cells).withColumn("cell", F.pmod(F.xxhash64("node"), F.col("cells")).cast("int"))
+    return joined_to_keys(members, counts, key, "m", total, "inner").withColumn("cells", cells).withColumn("cell", F.pmod(F.xxhash64("node"), F.col("cells")).cast("int")).drop("m")
+
+
+def met(placed: DataFrame, key: str, payload: list[str]) -> DataFrame:
+    """Each cell of ``key`` with every other: ``(key, x, y, cell, node, *payload)``, x <= y.
+
+    Each member goes to each meeting of its cell, so no task gets more than about two cells.
+    """
     other = F.explode(F.sequence(F.lit(0), F.col("cells") - 1))
-    return dealt.withColumn("other", other).select(key, F.least("cell", "other").alias("x"), F.greatest("cell", "other").alias("y"), "cell", "node", *payload)
+    return placed.withColumn("other", other).select(key, F.least("cell", "other").alias("x"), F.greatest("cell", "other").alias("y"), "cell", "node", *payload)
 
 
 def _forest(nodes_a: list[bytes], nodes_b: list[bytes], i: np.ndarray, j: np.ndarray) -> tuple[list[bytes], list[bytes]]:
@@ -292,8 +297,8 @@ def candidate_edges(reps: DataFrame, threshold: float) -> DataFrame:
         return pa.table({"a": pa.array(left, pa.binary()), "b": pa.array(right, pa.binary())})
 
     keyed = reps.select("node", F.explode("keys").alias("key"))
-    dealt = met(keyed, "key", [])
-    return dealt.join(reps.select("node", "signature"), "node").groupBy("key", "x", "y").applyInArrow(meet, "a binary, b binary").distinct()
+    pairs = met(dealt(keyed, "key"), "key", [])
+    return pairs.join(reps.select("node", "signature"), "node").groupBy("key", "x", "y").applyInArrow(meet, "a binary, b binary").distinct()
 
 
 def verified_links(clustered: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
@@ -320,8 +325,9 @@ def verified_links(clustered: DataFrame, sets: DataFrame, threshold: float) -> D
         forest = dict(zip(*_forest(a["node"], b["node"], i, j), strict=True))
         return pa.table({"node": pa.array(list(links), pa.binary()), "links": pa.array(list(links.values()), pa.int64()), "b": pa.array([forest.get(x) for x in links], pa.binary())})
 
-    whole = clustered.join(sets, "node")
-    return met(whole, "cluster", ["copies", "signature", "shingles"], clustered).groupBy("cluster", "x", "y").applyInArrow(meet, "node binary, links long, b binary")
+    # the sets move once to their nodes and then to the meetings
+    whole = dealt(clustered, "cluster").join(sets, "node")
+    return met(whole, "cluster", ["copies", "signature", "shingles"]).groupBy("cluster", "x", "y").applyInArrow(meet, "node binary, links long, b binary")
 
 
 def grouped(documents: DataFrame, threshold: float = 0.8, n: int = 5) -> DataFrame:
@@ -345,7 +351,8 @@ def grouped(documents: DataFrame, threshold: float = 0.8, n: int = 5) -> DataFra
     first = groups.join(reps.select("node", "head"), "node").groupBy("root").agg(F.min("head").alias("first"))
     classes = reps.select("node", "head", "copies").join(links, "node", "left").join(groups.join(first, "root").select("node", "first"), "node", "left")
     classes = classes.select(F.col("node").alias("class"), F.col("head.doc_id").alias("copy_of"), "copies", "links", F.coalesce("first", "head").alias("first"))
-    out = rows.select(ROW, "doc_id", "class").join(classes, "class", "left")
+    # texts without words have no class and a class may have many copies: neither meets in one task
+    out = joined_to_keys(rows.select(ROW, "doc_id", "class"), stored(classes), "class", "copies", rows.count())
     alone = F.col("class").isNull()
     return out.select(
         ROW, "doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("first.doc_id")).alias("class_id"),
@@ -371,7 +378,12 @@ def near_duplicates(documents: DataFrame, threshold: float = 0.8, n: int = 5) ->
 
 
 def deduplicate(documents: DataFrame, threshold: float = 0.8, n: int = 5) -> DataFrame:
-    """The rows of ``documents`` without near copies: of each group that near_duplicates finds, its row of the smallest doc_id stays."""
-    rows = numbered(documents)
-    kept = grouped(rows, threshold, n).where("kept").select(ROW)
-    return rows.join(kept, ROW, "left_semi").drop(ROW)
+    """The rows of ``documents`` without near copies: of each group that near_duplicates finds, its row of the smallest doc_id stays.
+
+    Of several such rows one stays, and null ids come last. Null texts and texts without words are in no group and stay,
+    also repeated ones. All columns stay as they are, whatever their names. An empty table gives an empty one.
+    """
+    row = free_name(ROW, documents.columns)
+    rows = numbered(documents, row)
+    kept = grouped(rows.select(F.col(row).alias(ROW), "doc_id", "text"), threshold, n).where("kept").select(F.col(ROW).alias(row))
+    return rows.join(kept, row, "left_semi").drop(row)

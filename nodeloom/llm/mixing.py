@@ -76,7 +76,9 @@ MOST_SENT = 50_000
 
 
 def _hash() -> Column:
-    return F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, DIGITS * LEVELS), 16, 10).cast("long")
+    """36 bits of a hash of id and text, so that rows that share an id, or have none, part by their texts."""
+    name = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce("text", F.lit("")))
+    return F.conv(F.substring(F.md5(name), 1, DIGITS * LEVELS), 16, 10).cast("long")
 
 
 def mix_plan(sized: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: int = 2) -> DataFrame:
@@ -92,14 +94,13 @@ def with_size(documents: DataFrame) -> DataFrame:
     return stored(documents.select("doc_id", "source", size.alias("size"), _hash().alias("h")))
 
 
-def with_passes(documents: DataFrame, plan: DataFrame, most: int, *columns: str) -> DataFrame:
-    """``documents(doc_id, source, ...)`` with ``__passes``, how often each is taken, and ``columns`` of its source's plan."""
+def with_passes(rows: DataFrame, plan: DataFrame, most: int) -> DataFrame:
+    """``rows(source, h, ...)`` with ``taken_times``, how often each is taken, and its source's size and target."""
     small = plan.count() <= MOST_SENT
-    rows = documents.withColumn("__h", _hash())
-    own = plan.select(F.col("source").alias("__source"), "threshold", F.col("passes").alias("__passes"), *columns)
-    met = rows.join(F.broadcast(own) if small else own, F.col("source").eqNullSafe(F.col("__source")))
-    passes = F.least(F.col("__passes") + F.when(F.col("__h") < F.col("threshold"), 1).otherwise(0), F.lit(most))
-    return met.withColumn("__passes", passes).drop("__h", "__source", "threshold")
+    own = plan.select(F.col("source").alias("own"), "threshold", "passes", "source_size", "target")
+    met = rows.join(F.broadcast(own) if small else own, F.col("source").eqNullSafe(F.col("own")))
+    times = F.least(F.col("passes") + F.when(F.col("h") < F.col("threshold"), 1).otherwise(0), F.lit(most))
+    return met.withColumn("taken_times", times).drop("own", "threshold", "passes")
 
 
 def mix_sources(documents: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: int = 2) -> DataFrame:
@@ -107,26 +108,27 @@ def mix_sources(documents: DataFrame, weights: tuple[int, ...] = (5, 2, 1), shar
 
     ``documents`` has doc_id, text and source; other columns are left aside. Size is the number of runs of characters
     outside ASCII white space, 0 for null and empty texts; such documents are taken 0 times. Null is a source of its
-    own. A document is taken as a whole, 0 to ``most`` times; the hash of its id decides, so reruns agree and repeated
-    rows share one decision. A source's sum differs from its target by half of the boundary document (or of the
-    documents with its 36-bit hash) at most. An empty table gives an empty one.
+    own. A document is taken as a whole, 0 to ``most`` times; the hash of its id and text decides, so reruns agree and
+    rows that repeat both share one decision. A source's sum differs from its target by half of the boundary document
+    (or of the documents with its 36-bit hash) at most. An empty table gives an empty one.
     """
     sized = with_size(documents)
-    plan = mix_plan(sized, weights, share, most)
-    met = with_passes(sized, plan, most, "source_size", "target")
-    return met.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("__passes")).cast("long").alias("taken"))
+    met = with_passes(sized, mix_plan(sized, weights, share, most), most)
+    return met.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("taken_times")).cast("long").alias("taken"))
 
 
 def mixed(documents: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: int = 2) -> DataFrame:
-    """The mix itself: each row of ``documents`` as often as mix_sources takes it; documents without a word go."""
+    """The mix itself: each row of ``documents`` as often as mix_sources takes it; documents without a word go. All columns stay, whatever their names."""
     plan = mix_plan(with_size(documents), weights, share, most)
-    met = with_passes(documents, plan, most).where((F.col("__passes") > 0) & F.col("text").rlike(WORDS))
-    return met.withColumn("__pass", F.explode(F.sequence(F.lit(1), F.col("__passes").cast("int")))).select(*[F.col(f"`{c}`") for c in documents.columns])
+    # the row's own columns travel as one, so that none meets a column of the plan
+    rows = documents.where(F.col("text").rlike(WORDS)).select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"), "source", _hash().alias("h"))
+    met = with_passes(rows, plan, most).where("taken_times > 0").withColumn("time", F.explode(F.sequence(F.lit(1), F.col("taken_times").cast("int"))))
+    return met.select(*[F.col("row").getField(c).alias(c) for c in documents.columns])
 
 
 ORACLE = r"""
 WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
-                  ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 9))::BIGINT AS h FROM documents),
+                  ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':' || coalesce(text, '')), 1, 9))::BIGINT AS h FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 w AS (SELECT *, [5, 2, 1][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT] AS weight, 2 * source_size AS cap FROM s),
 o AS (SELECT *, 1.5::DOUBLE * sum(source_size) OVER ()::DOUBLE - coalesce(sum(cap) OVER pre, 0)::DOUBLE AS lef,

@@ -101,14 +101,34 @@ def test_base_entities(spark):
 
 
 def test_contexts_discover_identifiers(spark):
-    seeds = [f"client reachable at number +1 (20{i}) 555-01{i}{i} daily thanks {i}" for i in range(5)]
-    df = spark.createDataFrame(list(enumerate([*seeds, "client reachable at number REF-9912345 daily", "other words REF-9912399 here"])), "doc_id long, text string")
-    found = {r.doc_id: r.spans for r in pii.digests(df).collect()}
-    assert found[5] == "id:27:38" and found[6] == ""
+    seeds = [f"client reachable at number +1 (2{i:02d}) 555-01{i:02d} daily thanks {i}" for i in range(20)]
+    keys = [f'noise word{i} password={"ab3c9f" * 2}{i:03d}x and more' for i in range(4)] + [f"some QZKL{'ABCDEFGH'[i] * 6}7{i}WXYZ in prose" for i in range(4)]
+    plain = [f"the item the 2024{i:02d}{i}1 of the store, the end of the day" for i in range(4)]
+    texts = [*seeds, "client reachable at number REF-9912345 daily", "other words REF-9912399 here", *keys, *plain, "password=zz91x22y44qq", "a password for the house"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: [texts[r.doc_id][int(a) : int(b)] for k, a, b in (s.split(":") for s in r.spans.split(",") if s) if k == "id"] for r in pii.digests(df).collect()}
+    found = {i - 15: v for i, v in found.items()}
+    assert found[5] == ["REF-9912345"] and found[6] == []
+    assert [found[i] for i in range(7, 11)] == [[f"{'ab3c9f' * 2}{i:03d}x"] for i in range(4)]  # password=, of which one stands in prose
+    assert [found[i] for i in range(11, 15)] == [[t.split()[1]] for t in keys[4:]]  # the start QZKL
+    assert all(found[i] == [] for i in range(15, 19)) and found[19] == ["zz91x22y44qq"]
     text = pii.find_spans(df.where("doc_id in (0, 5)").unionByName(df.where("doc_id in (1, 2, 3)"))).select("doc_id", pii.masked(F.col("text"), F.col("spans")).alias("t"))
     assert {r.doc_id: r.t for r in text.collect()}[0] == "client reachable at number <phone> daily thanks 0"
 
 
+def test_clashing_names_and_long_texts_of_personal_data(spark):
+    names = ("base", "spans", "row", "own", "found", "tokens", "kind", "start", "pattern", "__row", "value")
+    long = "é😀 " + " ".join(f"10.0.{i % 256}.{i % 99} w{i}" for i in range(3000))
+    rows = [(1, "mail a@b.org now", *names), (1, "mail a@b.org now", *names), (None, None, *names), (2, "", *names), (3, long, *names)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"`{n}` string" for n in names))
+    got = pii.find_spans(df).withColumn("masked", pii.masked(F.col("text"), F.col("spans"))).collect()
+    assert len(got) == 5
+    for r in got:
+        assert all(r[n] == n for n in names if n not in ("base", "spans"))
+        assert [f"{s.kind}:{s.start}:{s.stop}" for s in r.base] == spans(r.text)
+        assert r.masked == (None if r.text is None else re.sub(r"10\.0\.[0-9]+\.[0-9]+", "<ip>", r.text).replace("a@b.org", "<email>"))
+
+
 def test_entities_stay_with_their_text(spark, tmp_path):
     for i in range(6):
         texts = [(10 * i + j, f"text {i} {j} " + "x" * (i + j) + (f" a{i}{j}@example.org" if j % 2 else "")) for j in range(4 + i)]
