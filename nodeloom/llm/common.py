@@ -63,12 +63,13 @@ def free_name(name: str, columns: list[str]) -> str:
 LEAST_HOT = 256
 
 
-def joined_to_keys(rows: DataFrame, keyed: DataFrame, key: str, n: str, total: int, how: str = "left") -> DataFrame:
+def joined_to_keys(rows: DataFrame, keyed: DataFrame, key: str, n: str, total: int, how: str = "left", alike: bool = False) -> DataFrame:
     """``rows`` joined with ``keyed``, which has one row for each key and says in ``n`` how many of the ``total`` rows have it.
 
     Rows of a hot key would all meet in one task. Hot keys have more than LEAST_HOT rows and more than an eighth of an
     even partition's, so there are at most eight times as many as partitions; they go to the rows, the others by
-    shuffle. Null keys are left out of the join. ``keyed`` is read three times and ``rows`` as often.
+    shuffle, with ``alike`` also where ``keyed`` is small enough to be sent, so that the plan is the same at every size.
+    Null keys are left out of the join. ``keyed`` is read three times and ``rows`` as often.
     """
     spark = rows.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -76,7 +77,8 @@ def joined_to_keys(rows: DataFrame, keyed: DataFrame, key: str, n: str, total: i
     hot = keyed.where(F.col(n) > bound)
     known = rows.where(F.col(key).isNotNull())
     sent = known.join(F.broadcast(hot), key, "inner")
-    rest = known.join(F.broadcast(hot.select(key)), key, "left_anti").join(keyed.where(F.col(n) <= bound), key, how)
+    others = keyed.where(F.col(n) <= bound)
+    rest = known.join(F.broadcast(hot.select(key)), key, "left_anti").join(others.hint("merge") if alike else others, key, how)
     out = sent.unionByName(rest.select(sent.columns))
     if how == "left":
         extra = [F.lit(None).cast(f.dataType).alias(f.name) for f in keyed.schema.fields if f.name != key]

@@ -254,7 +254,7 @@ def dealt(members: DataFrame, key: str) -> DataFrame:
     counts = stored(members.groupBy(key).agg(F.count("*").alias("m")).where("m > 1"))
     total = counts.agg(F.coalesce(F.sum("m"), F.lit(0)).alias("n")).first()["n"]
     cells = F.ceil(F.col("m") / CELL).cast("int")
-    return joined_to_keys(members, counts, key, "m", total, "inner").withColumn("cells", cells).withColumn("cell", F.pmod(F.xxhash64("node"), F.col("cells")).cast("int")).drop("m")
+    return joined_to_keys(members, counts, key, "m", total, "inner", alike=True).withColumn("cells", cells).withColumn("cell", F.pmod(F.xxhash64("node"), F.col("cells")).cast("int")).drop("m")
 
 
 def met(placed: DataFrame, key: str, payload: list[str]) -> DataFrame:
