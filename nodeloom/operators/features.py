@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from nodeloom.functions.columns import ROLES, by_role, col_or, parse_ids, severity_rank, to_number
+from nodeloom.operators.store import percentiles
 
 #: Features that come first in model inputs, and how many others follow in column order.
 PRIORITY = ("betweenness", "eigenvector", "degree", "cross_community_edges", "participation_coef", "is_bridge", "clustering_coef", "core_number", "incident_count", "crime_diversity")
@@ -59,9 +60,9 @@ def rule_roles(features: DataFrame) -> DataFrame:
 
 
 def _clipped(df: DataFrame, low: float, high: float) -> DataFrame:
-    """``s`` between its exact percentiles. One row of bounds joins every row."""
-    bounds = df.agg(F.expr(f"percentile(s, array({low}D, {high}D))").alias("p"))
-    return df.join(F.broadcast(bounds)).withColumn("s", F.least(F.greatest("s", F.col("p")[0]), F.col("p")[1])).drop("p")
+    """``s`` between its exact percentiles."""
+    a, b = percentiles(df, ["s"], [low, high])["s"]
+    return df.withColumn("s", F.least(F.greatest("s", F.lit(a)), F.lit(b))) if a is not None else df
 
 
 def _separated(df: DataFrame, epsilon: float, lifted: Column) -> DataFrame:
@@ -144,11 +145,10 @@ def stats_by_role(rows: DataFrame, column: str) -> DataFrame:
 
 def robust_scaled(df: DataFrame, columns: list[str]) -> DataFrame:
     """``columns`` as (x - median) / (p75 - p25) from exact percentiles, a spread of 0 counting as 1; other columns stay."""
-    quartiles = df.agg(*[F.expr(f"percentile(`{c}`, array(0.25D, 0.5D, 0.75D))").alias(f"__{c}") for c in columns])
-    met = df.join(F.broadcast(quartiles))
+    quartiles = percentiles(df, columns, [0.25, 0.5, 0.75])
 
     def scaled(c: str) -> Column:
-        q = F.col(f"__{c}")
-        return ((F.col(c) - q[1]) / F.when(q[2] == q[0], 1.0).otherwise(q[2] - q[0])).alias(c)
+        low, middle, high = quartiles[c]
+        return ((F.col(c) - F.lit(middle)) / F.lit(1.0 if high == low else high - low)).alias(c)
 
-    return met.select(*[scaled(c) if c in columns else F.col(c) for c in df.columns])
+    return df.select(*[scaled(c) if c in columns else F.col(c) for c in df.columns])

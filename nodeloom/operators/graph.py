@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -60,8 +61,8 @@ def degree_features(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     return degrees(vertices, edges).join(F.broadcast(n)).select("person_id", "degree", F.coalesce(F.try_divide(F.col("degree"), F.col("n") - 1), F.lit(0.0)).alias("degree_centrality"))
 
 
-def triangle_counts(edges: DataFrame) -> DataFrame:
-    """``(person_id, triangles)`` of the nodes that have one.
+def triangles(edges: DataFrame) -> DataFrame:
+    """``(u, from_id, to_id)``: each triangle once.
 
     Each edge points to its end of higher degree, so a hub has few outgoing edges and the wedges stay few: at most
     m times the square root of m. A wedge is closed by an equi-join with the edges.
@@ -72,8 +73,12 @@ def triangle_counts(edges: DataFrame) -> DataFrame:
     forward = (F.col("da") < F.col("db")) | ((F.col("da") == F.col("db")) & (F.col("from_id") < F.col("to_id")))
     directed = edges.join(a, "from_id").join(b, "to_id").select(F.when(forward, F.col("from_id")).otherwise(F.col("to_id")).alias("u"), F.when(forward, F.col("to_id")).otherwise(F.col("from_id")).alias("v"))
     wedges = directed.alias("x").join(directed.alias("y"), F.expr("x.u = y.u AND x.v < y.v")).select(F.col("x.u").alias("u"), F.col("x.v").alias("from_id"), F.col("y.v").alias("to_id"))
-    closed = wedges.join(edges.select("from_id", "to_id"), ["from_id", "to_id"])
-    return closed.select(F.explode(F.array("u", "from_id", "to_id")).alias("person_id")).groupBy("person_id").agg(F.count("*").alias("triangles"))
+    return wedges.join(edges.select("from_id", "to_id"), ["from_id", "to_id"]).select("u", "from_id", "to_id")
+
+
+def triangle_counts(edges: DataFrame) -> DataFrame:
+    """``(person_id, triangles)`` of the nodes that have one."""
+    return triangles(edges).select(F.explode(F.array("u", "from_id", "to_id")).alias("person_id")).groupBy("person_id").agg(F.count("*").alias("triangles"))
 
 
 def clustering_ego(vertices: DataFrame, edges: DataFrame) -> DataFrame:
@@ -116,12 +121,15 @@ def community_features(persons: DataFrame, edges: DataFrame) -> DataFrame:
 def burt_constraint(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     """``(person_id, constraint, burt_constraint)``: a column that is 0, as first defined, and Burt's measure.
 
-    Burt: the sum over neighbours j of (p_ij + sum_q p_iq p_qj)^2 with p = 1 / degree; 0 for isolated nodes.
+    Burt: the sum over neighbours j of (p_ij + sum_q p_iq p_qj)^2 with p = 1 / degree; 0 for isolated nodes. As j is a
+    neighbour of i, each q closes a triangle with both, so triangles are all that has to be listed.
     """
     adj = adjacency(edges)
-    p = adj.join(adj.groupBy("src").agg((1.0 / F.count("*")).alias("p")), "src")
-    two = p.alias("a").join(p.alias("b"), F.expr("a.dst = b.src AND a.src <> b.dst")).select(F.col("a.src").alias("src"), F.col("b.dst").alias("dst"), (F.col("a.p") * F.col("b.p")).alias("w"))
-    indirect = two.join(adj, ["src", "dst"], "left_semi").groupBy("src", "dst").agg(F.sum("w").alias("w"))
+    share = adj.groupBy("src").agg((1.0 / F.count("*")).alias("p"))
+    p = adj.join(share, "src")
+    corners = F.explode(F.array(*[F.struct(F.col(i).alias("src"), F.col(j).alias("dst"), F.col(q).alias("q")) for i, j, q in itertools.permutations(("u", "from_id", "to_id"))]))
+    ways = triangles(edges).select(corners.alias("t")).select("t.*").join(share, "src").join(share.select(F.col("src").alias("q"), F.col("p").alias("pq")), "q")
+    indirect = ways.groupBy("src", "dst").agg(F.sum(F.col("p") * F.col("pq")).alias("w"))
     total = p.join(indirect, ["src", "dst"], "left").select("src", F.pow(F.col("p") + F.coalesce("w", F.lit(0.0)), 2).alias("c")).groupBy("src").agg(F.sum("c").alias("c"))
     return vertices.join(total, vertices["person_id"] == total["src"], "left").select("person_id", F.lit(0.0).alias("constraint"), F.coalesce("c", F.lit(0.0)).alias("burt_constraint"))
 

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from nodeloom.functions.columns import dice
+from nodeloom.operators import csr
 from nodeloom.operators.graph import adjacency, degrees
-from nodeloom.operators.store import stored
+from nodeloom.operators.store import joined_to_keys, released, stored
 
 
 def connected_components(vertices: DataFrame, edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -16,14 +19,20 @@ def connected_components(vertices: DataFrame, edges: DataFrame, most_rounds: int
     Nodes take their neighbourhood's smallest label, then the label of that label, so a label's way doubles each round.
     """
     adj = adjacency(edges)
-    now = stored(vertices.select("person_id", F.col("person_id").alias("component")))
+    kept = now = stored(vertices.select("person_id", F.col("person_id").alias("component")))
     for _ in range(most_rounds):
         low = adj.join(now, adj["dst"] == now["person_id"]).groupBy(F.col("src").alias("person_id")).agg(F.min("component").alias("low"))
         step = now.join(low, "person_id", "left").select("person_id", F.col("component").alias("before"), F.least("component", F.coalesce("low", "component")).alias("component"))
-        jump = step.select(F.col("person_id").alias("component"), F.col("component").alias("further"))
-        after = stored(step.join(jump, "component", "left").select("person_id", "before", F.least("component", F.coalesce("further", "component")).alias("component")))
-        now = after.select("person_id", "component")
-        if after.where("before <> component").isEmpty():
+        step = stored(step)
+        # many nodes have one label: how far each label leads is found once for it and sent to its nodes where they are many
+        used = step.groupBy("component").agg(F.count("*").alias("n"))
+        further = stored(used.join(step.select(F.col("person_id").alias("component"), F.col("component").alias("further")), "component", "left"))
+        after = stored(joined_to_keys(step, further, "component", "n", step.count()).select("person_id", "before", F.least("component", F.coalesce("further", "component")).alias("component")))
+        done = after.where("before <> component").isEmpty()
+        for old in (step, further, kept):
+            released(old)
+        kept, now = after, after.select("person_id", "component")
+        if done:
             return now
     raise RuntimeError(f"connected_components: no fixpoint after {most_rounds} rounds")
 
@@ -85,36 +94,46 @@ def shortest_path_flow(edges: DataFrame, sources: DataFrame) -> DataFrame:
 def eigenvector(vertices: DataFrame, edges: DataFrame, rounds: int | None = None, tolerance: float = 1e-6, most_rounds: int = 1000) -> DataFrame:
     """``(person_id, eigenvector)``: power iteration x <- x + A x with length 1, until the change is under n * tolerance, or for ``rounds``.
 
-    Without edges all entries stay equal. No convergence is an error.
+    Without edges all entries stay equal. No convergence is an error. A graph within csr's bounds is iterated as arrays.
     """
+    graph = csr.compact(vertices, edges)
+    spark = vertices.sparkSession
+    if graph is not None:
+        x = csr.eigenvector(graph, rounds, tolerance, most_rounds)
+        return spark.createDataFrame(pa.table({"person_id": pa.array(graph.ids, pa.int64()), "eigenvector": pa.array(x, pa.float64())}))
     adj = stored(adjacency(edges))
     n = vertices.count()
-    now = stored(vertices.select("person_id", F.lit(1.0 / max(1, n)).alias("x")))
+    now, scale = stored(vertices.select("person_id", F.lit(1.0 / max(1, n)).alias("y"), F.lit(0.0).alias("before"))), 1.0
     for _ in range(rounds if rounds is not None else most_rounds):
-        sums = adj.join(now, adj["dst"] == now["person_id"]).groupBy(F.col("src").alias("person_id")).agg(F.sum("x").alias("s"))
-        raw = now.join(sums, "person_id", "left").select("person_id", F.col("x").alias("before"), (F.col("x") + F.coalesce("s", F.lit(0.0))).alias("y"))
-        raw = stored(raw)
-        norm = raw.agg(F.sqrt(F.sum(F.col("y") * F.col("y"))).alias("l"))
-        after = stored(raw.join(F.broadcast(norm)).select("person_id", "before", (F.col("y") / F.when(F.col("l") == 0, 1.0).otherwise(F.col("l"))).alias("x")))
-        now = after.select("person_id", "x")
-        if rounds is None and after.agg(F.sum(F.abs(F.col("x") - F.col("before"))).alias("c")).first()["c"] < n * tolerance:
+        x = now.select("person_id", (F.col("y") * scale).alias("before"))
+        sums = adj.join(x, adj["dst"] == x["person_id"]).groupBy(F.col("src").alias("person_id")).agg(F.sum("before").alias("s"))
+        after = stored(x.join(sums, "person_id", "left").select("person_id", "before", (F.col("before") + F.coalesce("s", F.lit(0.0))).alias("y")))
+        # the length goes into the next round's reading, so a round is written once
+        length = after.agg(F.coalesce(F.sqrt(F.sum(F.col("y") * F.col("y"))), F.lit(0.0)).alias("l")).first()["l"]
+        released(now)
+        now, scale = after, 1.0 / (length or 1.0)
+        if rounds is None and now.agg(F.coalesce(F.sum(F.abs(F.col("y") * scale - F.col("before"))), F.lit(0.0)).alias("c")).first()["c"] < n * tolerance:
             break
     else:
         if rounds is None:
             raise RuntimeError(f"eigenvector: no convergence after {most_rounds} rounds")
-    return now.select("person_id", F.col("x").alias("eigenvector"))
+    return now.select("person_id", (F.col("y") * scale).alias("eigenvector"))
 
 
 def core_numbers(vertices: DataFrame, edges: DataFrame, most_rounds: int = 500) -> DataFrame:
     """``(person_id, core_number)``: each node takes the h-index of its neighbours' values, from the degrees on, to the fixpoint."""
     adj = stored(adjacency(edges))
-    now = stored(degrees(vertices, edges).withColumnRenamed("degree", "c"))
-    rank = F.row_number().over(Window.partitionBy("src").orderBy(F.desc("c")))
+    kept = now = stored(degrees(vertices, edges).withColumnRenamed("degree", "c"))
+    order = Window.partitionBy("src").orderBy(F.desc("c")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     for _ in range(most_rounds):
-        seen = adj.join(now, adj["dst"] == now["person_id"]).select("src", "c").withColumn("r", rank)
-        h = seen.groupBy(F.col("src").alias("person_id")).agg(F.max(F.least("c", F.col("r").cast("long"))).alias("h"))
+        # values above the own one count like it; neighbours are counted by value before they meet, so a hub's are few rows
+        own = now.select(F.col("person_id").alias("src"), F.col("c").alias("top"))
+        seen = adj.join(now, adj["dst"] == now["person_id"]).groupBy("src", "c").agg(F.count("*").alias("k"))
+        counts = seen.join(own, "src").groupBy("src", F.least("c", "top").alias("c")).agg(F.sum("k").alias("k"))
+        h = counts.withColumn("r", F.sum("k").over(order)).groupBy(F.col("src").alias("person_id")).agg(F.max(F.least("c", "r")).alias("h"))
         after = stored(now.join(h, "person_id", "left").select("person_id", F.col("c").alias("before"), F.least("c", F.coalesce("h", F.lit(0))).cast("long").alias("c")))
-        now = after.select("person_id", "c")
+        released(kept)
+        kept, now = after, after.select("person_id", "c")
         if after.where("before <> c").isEmpty():
             return now.withColumnRenamed("c", "core_number")
     raise RuntimeError(f"core_numbers: no fixpoint after {most_rounds} rounds")
@@ -174,21 +193,40 @@ def pivots(vertices: DataFrame, k: int, seed: int) -> DataFrame:
 def betweenness(vertices: DataFrame, edges: DataFrame, k: int | None = None, seed: int = 42) -> DataFrame:
     """``(person_id, betweenness, load_centrality)``, from all sources or from ``k`` pivots scaled by n / k.
 
-    Both are normalised by 1 / ((n - 1)(n - 2)); 0 below three nodes.
+    Both are normalised by 1 / ((n - 1)(n - 2)); 0 below three nodes. In a graph within csr's bounds tasks search from
+    their sources over arrays; beyond, levels are rows.
     """
     n = vertices.count()
     sources = vertices if k is None or k >= n else stored(pivots(vertices, k, seed))
     scale = 1.0 / ((n - 1) * (n - 2)) * (n / min(n, k or n)) if n > 2 else 0.0
-    flow = shortest_path_flow(edges, sources)
+    graph = csr.compact(vertices, edges)
+    flow = shortest_path_flow(edges, sources) if graph is None else csr.flow_sums(vertices.sparkSession, graph, _ids(sources))
     return vertices.join(flow, "person_id", "left").select("person_id", (F.coalesce("dependency", F.lit(0.0)) * scale).alias("betweenness"), (F.coalesce("load", F.lit(0.0)) * scale).alias("load_centrality"))
 
 
+def _ids(sources: DataFrame) -> np.ndarray:
+    return sources.select(F.col("person_id").cast("long")).toArrow()["person_id"].to_numpy()
+
+
+def distance_sums(vertices: DataFrame, edges: DataFrame, sources: DataFrame) -> DataFrame:
+    """``(person_id, reached, total, inverse)`` of each source: nodes reached besides itself, sums of distances and of 1 / distance.
+
+    A graph within csr's bounds is searched for 64 sources at a time by each task; beyond, distances are rows.
+    """
+    graph = csr.compact(vertices, edges)
+    if graph is not None:
+        return csr.distance_sums(vertices.sparkSession, graph, _ids(sources))
+    far = bfs(edges, sources).where("d > 0")
+    sums = far.groupBy(F.col("src").alias("person_id")).agg(F.count("*").alias("reached"), F.sum("d").cast("long").alias("total"), F.sum(1.0 / F.col("d")).alias("inverse"))
+    return sources.select("person_id").join(sums, "person_id", "left").na.fill(0)
+
+
 def closeness(vertices: DataFrame, edges: DataFrame) -> DataFrame:
-    """``(person_id, closeness)``: ((r - 1) / sum of distances) * ((r - 1) / (n - 1)) with r reached nodes, itself included; 0 for isolated ones."""
+    """``(person_id, closeness)``: (r / sum of distances) * (r / (n - 1)) with r nodes reached besides itself; 0 for isolated ones."""
     n = vertices.agg(F.count("*").alias("n"))
-    far = bfs(edges, vertices).groupBy(F.col("src").alias("person_id")).agg(F.count("*").alias("r"), F.sum("d").alias("s"))
-    r = F.col("r") - 1
-    return vertices.join(far, "person_id", "left").join(F.broadcast(n)).select("person_id", F.coalesce(F.try_divide(r, F.col("s")) * F.try_divide(r, F.col("n") - 1), F.lit(0.0)).alias("closeness"))
+    r = F.col("reached")
+    value = F.coalesce(F.try_divide(r, F.col("total")) * F.try_divide(r, F.col("n") - 1), F.lit(0.0))
+    return distance_sums(vertices, edges, vertices).join(F.broadcast(n)).select("person_id", value.alias("closeness"))
 
 
 def global_efficiency(vertices: DataFrame, edges: DataFrame, k: int | None = 30, seed: int = 42) -> DataFrame:
@@ -196,5 +234,5 @@ def global_efficiency(vertices: DataFrame, edges: DataFrame, k: int | None = 30,
     n = vertices.count()
     sources = vertices if k is None or k >= n else stored(pivots(vertices, k, seed))
     used = min(n, k) if k is not None else n
-    near = bfs(edges, sources).where("d > 0").agg(F.coalesce(F.sum(1.0 / F.col("d")), F.lit(0.0)).alias("s"))
+    near = distance_sums(vertices, edges, sources).agg(F.coalesce(F.sum("inverse"), F.lit(0.0)).alias("s"))
     return near.select(F.lit(used).cast("long").alias("sources"), (F.col("s") / float(used * (n - 1)) if n > 1 else F.lit(0.0)).alias("global_efficiency"))

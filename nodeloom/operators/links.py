@@ -171,6 +171,14 @@ def node_inputs(vertices: DataFrame, edges: DataFrame, features: DataFrame | Non
     return base.select("person_id", F.slice(F.concat("x", F.array_repeat(F.lit(0.0).cast("float"), dim)), 1, dim).alias("x"))
 
 
+def subgraph_inputs(edges: DataFrame, pairs: DataFrame, inputs: DataFrame, hops: int = 2) -> DataFrame:
+    """``pairs(from_id, to_id, ...)`` with ``x``, the inputs ``(person_id, x)`` of the subgraph's nodes in order, and ``edge_index``; the target pair is no edge of it."""
+    sub = stored(enclosing_subgraphs(edges, pairs.select("from_id", "to_id"), hops, drop_target=True).select("from_id", "to_id", "nodes", "edge_index"))
+    x = sub.select("from_id", "to_id", F.posexplode("nodes").alias("i", "person_id")).join(inputs, "person_id").groupBy("from_id", "to_id").agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("x"))
+    both = sub.select("from_id", "to_id", "edge_index").join(x.withColumn("x", F.transform("x", lambda s: s["x"])), ["from_id", "to_id"])
+    return pairs.join(both, ["from_id", "to_id"])
+
+
 def train_classifier(samples: DataFrame, columns: tuple[str, ...] = SCORES, rounds: int = 50):
     """A logistic model of ``label`` over pair scores, standardised; ``samples`` has the columns, ``label`` and ``split``."""
     from pyspark.ml import Pipeline

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from nodeloom.functions.columns import dice
+from nodeloom.operators.store import sums_before
 
 
 def confusion_matrix(rows: DataFrame, true: str = "true_role", predicted: str = "predicted_role") -> DataFrame:
@@ -54,10 +55,9 @@ def ari_nmi(matrix: DataFrame) -> DataFrame:
 
 
 def _by_score(scored: DataFrame) -> DataFrame:
-    """Positives and negatives at each distinct score, and those above it. Windows run over distinct scores, not rows."""
+    """Positives and negatives at each distinct score, and those above it."""
     counts = scored.groupBy("score").agg(F.sum(F.col("label").cast("long")).alias("pos"), F.sum(1 - F.col("label").cast("long")).alias("neg"))
-    above = Window.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, -1)
-    return counts.withColumns({"tp": F.coalesce(F.sum("pos").over(above), F.lit(0)), "fp": F.coalesce(F.sum("neg").over(above), F.lit(0))})
+    return sums_before(counts, [F.desc("score")], {"tp": F.col("pos"), "fp": F.col("neg")})
 
 
 def roc_auc(scored: DataFrame) -> DataFrame:

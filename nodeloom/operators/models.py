@@ -207,25 +207,61 @@ def cluster_roles(clusters: DataFrame, roles: DataFrame) -> DataFrame:
     return clusters.join(best, "cluster").select("person_id", named.alias("predicted_role"))
 
 
-def forest_roles(features: DataFrame, roles: DataFrame, columns: list[str], trees: int = 300, depth: int = 15, train: float = 0.7, seed: int = 42) -> DataFrame:
-    """``(person_id, predicted_role, confidence)`` of a forest fitted on a stratified part, each class weighing n / (classes * its rows)."""
+def _forest(columns: list[str], labels: DataFrame, trees: int, depth: int, leaf: int, seed: int):
+    """A pipeline from ``columns``, ``role`` and ``weight`` to ``predicted_role``."""
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import RandomForestClassifier
-    from pyspark.ml.feature import IndexToString, StringIndexer
+    from pyspark.ml.feature import IndexToString, StringIndexer, VectorAssembler
+
+    index = StringIndexer(inputCol="role", outputCol="label").fit(labels)
+    forest = RandomForestClassifier(labelCol="label", weightCol="weight", numTrees=trees, maxDepth=depth, minInstancesPerNode=leaf, seed=seed, maxMemoryInMB=1024)
+    return Pipeline(stages=[VectorAssembler(inputCols=columns, outputCol="features"), index, forest, IndexToString(inputCol="prediction", outputCol="predicted_role", labels=index.labels)])
+
+
+def _weighted(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``c``, the rows of their role, and ``weight``: n / (classes * c)."""
+    counts = rows.groupBy("role").agg(F.count("*").alias("c"))
+    return rows.join(F.broadcast(counts), "role").withColumn("weight", F.lit(float(rows.count())) / (counts.count() * F.col("c")))
+
+
+def importances(model, columns: list[str], k: int = 10) -> list[tuple[int, str, float]]:
+    """(rank, feature, importance) of the ``k`` features that a forest's splits gain most by."""
+    values = model.stages[2].featureImportances.toArray().tolist()
+    best = sorted(zip(columns, values, strict=True), key=lambda x: (-x[1], x[0]))[:k]
+    return [(i, c, float(v)) for i, (c, v) in enumerate(best, 1)]
+
+
+def supervised_roles(features: DataFrame, roles: DataFrame, columns: list[str], trees: int = 500, depth: int = 20, leaf: int = 2, folds: int = 5, seed: int = 42):
+    """(model, ``(person_id, predicted_role, confidence)``, (mean, deviation) of the weighted F1 over the folds).
+
+    The second supervised variant: one forest for each stratified fold, fitted on the others, and one on all rows, which
+    predicts them. The model is a pipeline that ``save_model`` writes.
+    """
+    from pyspark.ml.functions import vector_to_array
+
+    from nodeloom.operators import metrics
+
+    rows = stored(_weighted(metrics.stratified_folds(features.select("person_id", *columns).join(roles.select("person_id", "role"), "person_id"), "role", folds, seed)))
+    scores = []
+    for fold in range(folds):
+        model = _forest(columns, rows, trees, depth, leaf, seed).fit(rows.where(F.col("fold") != fold))
+        held = model.transform(rows.where(F.col("fold") == fold))
+        scores.append(metrics.weighted_f1(metrics.role_report(metrics.confusion_matrix(held, "role", "predicted_role"))).first()["weighted_f1"])
+    model = _forest(columns, rows, trees, depth, leaf, seed).fit(rows)
+    out = stored(model.transform(rows).select("person_id", "predicted_role", F.array_max(vector_to_array("probability")).alias("confidence")))
+    return model, out, (float(np.mean(scores)), float(np.std(scores)))
+
+
+def forest_roles(features: DataFrame, roles: DataFrame, columns: list[str], trees: int = 300, depth: int = 15, train: float = 0.7, seed: int = 42) -> DataFrame:
+    """``(person_id, predicted_role, confidence)`` of a forest fitted on a stratified part, each class weighing n / (classes * its rows)."""
     from pyspark.ml.functions import vector_to_array
 
     rows = stored(features.select("person_id", *columns).join(roles.select("person_id", "role"), "person_id"))
-    counts = rows.groupBy("role").agg(F.count("*").alias("c"))
-    n, classes = rows.count(), counts.count()
-    rows = rows.join(F.broadcast(counts), "role").withColumn("weight", F.lit(float(n)) / (classes * F.col("c")))
+    rows = _weighted(rows)
     place = F.row_number().over(Window.partitionBy("role").orderBy(dice(seed, "person_id")))
     rows = stored(rows.withColumn("fit", place <= F.ceil(F.col("c") * train)))
-    ready = _assembled(rows, columns)
-    index = StringIndexer(inputCol="role", outputCol="label").fit(ready)
-    forest = RandomForestClassifier(labelCol="label", weightCol="weight", numTrees=trees, maxDepth=depth, minInstancesPerNode=2, seed=seed)
-    back = IndexToString(inputCol="prediction", outputCol="predicted_role", labels=index.labels)
-    model = Pipeline(stages=[index, forest, back]).fit(ready.where("fit"))
-    out = model.transform(ready)
+    model = _forest(columns, rows, trees, depth, 5, seed).fit(rows.where("fit"))
+    out = model.transform(rows)
     return stored(out.select("person_id", "predicted_role", F.array_max(vector_to_array("probability")).alias("confidence")))
 
 
@@ -275,7 +311,7 @@ def node_embeddings(vertices: DataFrame, edges: DataFrame, dim: int = 64, length
     from pyspark.ml.functions import vector_to_array
 
     paths = stored(random_walks(vertices, edges, length, walks, seed))
-    model = Word2Vec(vectorSize=dim, windowSize=window, minCount=1, maxIter=1, seed=seed, inputCol="path", outputCol="v", numPartitions=1).fit(paths)
+    model = Word2Vec(vectorSize=dim, windowSize=window, minCount=1, maxIter=1, seed=seed, inputCol="path", outputCol="v", numPartitions=max(1, paths.sparkSession.sparkContext.defaultParallelism)).fit(paths)
     return model.getVectors().select(F.col("word").cast("long").alias("person_id"), vector_to_array("vector", "float32").alias("embedding"))
 
 

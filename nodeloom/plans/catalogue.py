@@ -9,13 +9,14 @@ from pyspark.sql import functions as F
 
 from nodeloom.operators import disruption, features, graph, iterative, links, metrics, models, subgraph_net
 from nodeloom.operators.graph import Network
-from nodeloom.operators.store import stored
-from nodeloom.plans import diagnostics
-from nodeloom.plans.sql import EIGEN_ROUNDS, PIVOTS, SEED, STEPS, TOP
+from nodeloom.operators.store import shared_dir, stored
+from nodeloom.plans import diagnostics, phases
+from nodeloom.plans.sql import ADDED, EFFICIENCY_SOURCES, EIGEN_ROUNDS, PIVOTS, SEED, SOURCES, STEPS, STRATEGIES, TOP
 from nodeloom.sources import adapter, synthetic, tables
 from nodeloom.streaming import events
 
-_KEPT: dict[tuple[str, str, str], object] = {}
+_KEPT: dict[tuple, object] = {}
+ORIGINAL, SEAL = "Original", "SEAL"
 
 
 def forget() -> None:
@@ -23,16 +24,31 @@ def forget() -> None:
     _KEPT.clear()
 
 
+def _state(spark: SparkSession, sf_dir: str) -> tuple:
+    """Sizes and times of the input's files, so that what is kept ends with them."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(sf_dir)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
+    return tuple(sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in files))
+
+
 def _once(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], object]) -> object:
-    """Tables that several queries of a session share are computed and written once."""
-    key = (spark.sparkContext.applicationId, sf_dir, name)
+    """Tables that several queries of a session share are computed and written once, as long as the input is the same."""
+    key = (spark.sparkContext.applicationId, sf_dir, _state(spark, sf_dir), name)
     if key not in _KEPT:
         _KEPT[key] = make()
     return _KEPT[key]
 
 
-def _net(spark: SparkSession, sf_dir: str) -> Network:
-    return _once(spark, sf_dir, "network", lambda: adapter.network(spark, sf_dir).kept())
+def _net(spark: SparkSession, sf_dir: str, name: str = ORIGINAL) -> Network:
+    """The network, or with SEAL the one to which the best predicted links are added."""
+
+    def make() -> Network:
+        if name == ORIGINAL:
+            return adapter.network(spark, sf_dir).kept()
+        net = _net(spark, sf_dir)
+        return Network(net.persons, stored(_augmented(spark, sf_dir)), net.incidents)
+
+    return _once(spark, sf_dir, f"network {name}", make)
 
 
 def _r(column: str) -> Column:
@@ -43,59 +59,78 @@ def _rounded(df: DataFrame, *columns: str) -> DataFrame:
     return df.select(*[_r(c) if c in columns else F.col(f"`{c}`") for c in df.columns])
 
 
-def _features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Features that plain SQL can check: pivots for betweenness, fixed rounds for the eigenvector."""
+def _features(spark: SparkSession, sf_dir: str, name: str = ORIGINAL) -> DataFrame:
+    """All features that roles, scores and removal orders read, and the true role."""
 
     def make() -> DataFrame:
-        net = _net(spark, sf_dir)
+        net = _net(spark, sf_dir, name)
         e, v = net.relations, net.vertices
         parts = [
-            iterative.betweenness(v, e, PIVOTS, SEED).select("person_id", "betweenness"), iterative.eigenvector(v, e, EIGEN_ROUNDS), graph.degrees(v, e),
-            graph.community_features(net.persons, e).select("person_id", "cross_community_edges", "participation_coef"),
+            iterative.betweenness(v, e, PIVOTS, SEED).select("person_id", "betweenness"), iterative.eigenvector(v, e), graph.degrees(v, e), iterative.core_numbers(v, e),
+            graph.community_features(net.persons, e).select("person_id", "cross_community_edges", "participation_coef"), iterative.bridge_features(v, e).select("person_id", "is_bridge"),
             features.behaviour_features(net.persons, net.incidents).select("person_id", "incident_count", "crime_diversity", "coordinator_interactions"),
         ]
         table = features.feature_table(v, *parts)
         return stored(table.join(net.persons.select("person_id", F.col("role").alias("true_role")), "person_id"))
 
-    return _once(spark, sf_dir, "features", make)
+    return _once(spark, sf_dir, f"features {name}", make)
 
 
-def _ruled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = _features(spark, sf_dir)
+def _ruled(spark: SparkSession, sf_dir: str, name: str = ORIGINAL) -> DataFrame:
+    f = _features(spark, sf_dir, name)
     return f.join(features.rule_roles(f), "person_id")
 
 
-def _scores(spark: SparkSession, sf_dir: str, variant: str) -> DataFrame:
-    return _once(spark, sf_dir, f"score {variant}", lambda: stored(features.importance_scores(_ruled(spark, sf_dir), variant)))
+def _scores(spark: SparkSession, sf_dir: str, variant: str, name: str = ORIGINAL) -> DataFrame:
+    return _once(spark, sf_dir, f"score {variant} {name}", lambda: stored(features.importance_scores(_ruled(spark, sf_dir, name), variant)))
 
 
-def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    def make() -> DataFrame:
-        f, v = _features(spark, sf_dir), _net(spark, sf_dir).vertices
-        # ranked on rounded values, so that the last digits of sums do not decide
-        fine = f.withColumn("betweenness", F.round("betweenness", 9))
-        score = _scores(spark, sf_dir, "v1").withColumn("mo_importance_score", F.round("mo_importance_score", 9))
-        parts = [disruption.removal_order(f, "Degree", "degree", STEPS), disruption.removal_order(fine, "Betweenness", "betweenness", STEPS), disruption.removal_order(score, "MO-Based", "mo_importance_score", STEPS), disruption.random_order(v, STEPS, SEED)]
-        return stored(parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3]))
+def _closeness(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    net = _net(spark, sf_dir, name)
+    return _once(spark, sf_dir, f"closeness {name}", lambda: stored(iterative.closeness(net.vertices, net.relations)))
+
+
+def _orders_of(spark: SparkSession, sf_dir: str, name: str, strategies: tuple[str, ...] = STRATEGIES) -> DataFrame:
+    """``(strategy, rank, person_id)`` of one network; only what the asked strategies rank by is computed."""
+    net = _net(spark, sf_dir, name)
+    # ranked on rounded values, so that the last digits of sums do not decide
+    fine = lambda df, c: df.select("person_id", F.round(c, 9).alias(c))
+    made = {
+        "Degree": lambda: disruption.removal_order(graph.degrees(net.vertices, net.relations), "Degree", "degree", STEPS),
+        "Betweenness": lambda: disruption.removal_order(fine(_features(spark, sf_dir, name), "betweenness"), "Betweenness", "betweenness", STEPS),
+        "Closeness": lambda: disruption.removal_order(fine(_closeness(spark, sf_dir, name), "closeness"), "Closeness", "closeness", STEPS),
+        "MO-Based": lambda: disruption.removal_order(fine(_scores(spark, sf_dir, "v1", name), "mo_importance_score"), "MO-Based", "mo_importance_score", STEPS),
+        "Random": lambda: disruption.random_order(net.vertices, STEPS, SEED),
+    }
+    out = made[strategies[0]]()
+    for s in strategies[1:]:
+        out = out.unionByName(made[s]())
+    return out
 
-    return _once(spark, sf_dir, "orders", make)
+
+def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = {n: _once(spark, sf_dir, f"orders {n}", lambda n=n: stored(_orders_of(spark, sf_dir, n))) for n in (ORIGINAL, SEAL)}
+    both = [df.withColumn("strategy", disruption.named(F.col("strategy"), n)) for n, df in parts.items()]
+    return both[0].unionByName(both[1])
 
 
 def _trace(spark: SparkSession, sf_dir: str) -> DataFrame:
-    net = _net(spark, sf_dir)
-    return _once(spark, sf_dir, "trace", lambda: stored(disruption.disruption_trace(net.vertices, net.relations, _orders(spark, sf_dir))))
+    """The traces of all strategies on the network and on the one with predicted links."""
 
+    def make() -> DataFrame:
+        _orders(spark, sf_dir)
+        parts = []
+        for name in (ORIGINAL, SEAL):
+            net, orders = _net(spark, sf_dir, name), _once(spark, sf_dir, f"orders {name}", lambda: None)
+            trace = disruption.disruption_trace(net.vertices, net.relations, orders, list(STRATEGIES), EFFICIENCY_SOURCES, SEED)
+            parts.append(trace.withColumn("strategy", disruption.named(F.col("strategy"), name)))
+        return stored(parts[0].unionByName(parts[1]))
 
-def _summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # twenty removals do not halve these networks: the registered threshold is 0.9
-    trace = _trace(spark, sf_dir).withColumn("strategy", disruption.named(F.col("strategy"), "Original"))
-    return disruption.summarise(trace, 0.9)
+    return _once(spark, sf_dir, "trace", make)
 
 
-def _improvements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    name = F.col("Strategy")
-    other = _summary(spark, sf_dir).withColumn("Strategy", F.when(name.startswith("Degree"), name).otherwise(F.replace(name, F.lit("Original"), F.lit("SEAL"))))
-    return disruption.improvements(other)
+def _summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return disruption.summarise(_trace(spark, sf_dir))
 
 
 def _split(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -124,11 +159,11 @@ def _ranked_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _augmented(spark: SparkSession, sf_dir: str) -> DataFrame:
     net = _net(spark, sf_dir)
     found = links.link_scores(net.vertices, net.relations, links.candidates(net.relations))
-    return links.augmented(net.relations, found, 100, "common_neighbours")
+    return links.augmented(net.relations, found, ADDED, "common_neighbours")
 
 
 def _subgraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return links.enclosing_subgraphs(_net(spark, sf_dir).relations, _split(spark, sf_dir).where("split = 'val'"), 1).select("from_id", "to_id", "n_nodes", "n_edges")
+    return links.enclosing_subgraphs(_net(spark, sf_dir).relations, _split(spark, sf_dir), 2).select("from_id", "to_id", "n_nodes", "n_edges")
 
 
 def _classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -137,20 +172,46 @@ def _classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.roc_auc(scored).join(metrics.average_precision(scored))
 
 
-def _subgraph_history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The graph network on subgraphs of 200 pairs; the sample bounds a fit on the driver."""
-    net = _net(spark, sf_dir)
-    samples = stored(_samples(spark, sf_dir).orderBy(F.md5(F.concat_ws(":", "from_id", "to_id"))).limit(200))
-    sub = links.enclosing_subgraphs(net.relations, samples.select("from_id", "to_id"), 1, drop_target=True)
-    inputs = links.node_inputs(net.vertices, net.relations, None, 4)
-    x = sub.select("from_id", "to_id", F.posexplode("nodes").alias("i", "person_id")).join(inputs, "person_id").groupBy("from_id", "to_id").agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("x"))
-    rows = samples.join(sub.select("from_id", "to_id", "edge_index"), ["from_id", "to_id"]).join(x.withColumn("x", F.transform("x", lambda s: s["x"])), ["from_id", "to_id"])
-    _, history, _ = subgraph_net.train(rows.select("split", "label", "x", "edge_index").orderBy("from_id", "to_id"), subgraph_net.Settings(hidden=16, epochs=8, rate=0.01))
-    return spark.createDataFrame(history)
+def _subgraph_network(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AUC and average precision of the graph network over every val and test pair; the fit reads a bounded sample (Settings.fit_rows, stop_rows)."""
+    net, settings = _net(spark, sf_dir), subgraph_net.Settings(epochs=40, rate=0.005)
+    pairs = _once(spark, sf_dir, "samples", lambda: stored(_samples(spark, sf_dir)))
+    columns = ["degree", "betweenness", "eigenvector", "core_number", "participation_coef", "cross_community_edges", "incident_count", "crime_diversity"]
+    inputs = stored(links.node_inputs(net.vertices, net.relations, features.robust_scaled(_features(spark, sf_dir).select("person_id", *columns), columns), len(columns)))
+    model, history, _ = subgraph_net.train(links.subgraph_inputs(net.relations, subgraph_net.fit_pairs(pairs, settings), inputs).orderBy("split", "from_id", "to_id"), settings)
+    rows = stored(subgraph_net.scored(model, links.subgraph_inputs(net.relations, pairs.where("split <> 'train'"), inputs)))
+    out = None
+    for split in ("val", "test"):
+        own = rows.where(F.col("split") == split)
+        one = own.agg(F.lit(split).alias("split"), F.count("*").alias("pairs")).join(metrics.roc_auc(own)).join(metrics.average_precision(own)).withColumn("epochs", F.lit(len(history)))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def _supervised(spark: SparkSession, sf_dir: str) -> tuple:
+    """The second supervised variant's model, roles and cross-validated F1."""
+    return _once(spark, sf_dir, "supervised", lambda: models.supervised_roles(_scaled(spark, sf_dir, MODEL_FEATURES), _net(spark, sf_dir).persons, list(MODEL_FEATURES)))
+
+
+def _importances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.createDataFrame(models.importances(_supervised(spark, sf_dir)[0], list(MODEL_FEATURES)), "rank int, feature string, importance double")
+
+
+def _analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The analysis from end to end over a generated network: its final summary and the six checks."""
+    found = phases.run(spark, f"{shared_dir(spark)}/analysis", phases.Settings(added_links=50))
+    final = found["final"].select(F.col("metric").alias("name"), F.round("value", 6).alias("value"), F.col("reached").alias("passed"), F.lit("").alias("issues"))
+    checks = found["checks"].select(F.concat(F.lit("check "), "check").alias("name"), F.lit(None).cast("double").alias("value"), "passed", F.array_join("issues", "; ").alias("issues"))
+    return final.unionByName(checks)
+
+
+#: Features of the model queries: all that _features has.
+MODEL_FEATURES = ("betweenness", "eigenvector", "degree", "cross_community_edges", "participation_coef", "is_bridge", "core_number", "incident_count", "crime_diversity", "coordinator_interactions")
+FOUR = ("betweenness", "eigenvector", "degree", "incident_count")
 
 
-def _scaled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return features.robust_scaled(_features(spark, sf_dir), ["betweenness", "eigenvector", "degree", "incident_count"]).select("person_id", "betweenness", "eigenvector", "degree", "incident_count")
+def _scaled(spark: SparkSession, sf_dir: str, columns: tuple[str, ...] = FOUR) -> DataFrame:
+    return features.robust_scaled(_features(spark, sf_dir), list(columns)).select("person_id", *columns)
 
 
 def _diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -169,7 +230,7 @@ def _graph(f: Callable[[Network], DataFrame]) -> Callable[[SparkSession, str], D
 
 def _embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     net = _net(spark, sf_dir)
-    return models.node_embeddings(net.vertices, net.relations, dim=16, length=10, walks=4, window=5)
+    return models.node_embeddings(net.vertices, net.relations)
 
 
 def _cv(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -189,26 +250,30 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "community_features": _graph(lambda g: _rounded(graph.community_features(g.persons, g.relations), "participation_coef", "participation_coef_full", "within_module_z")),
     "behaviour_features": _graph(lambda g: _rounded(features.behaviour_features(g.persons, g.incidents), "avg_severity")),
     "feature_table": lambda spark, d: _rounded(_features(spark, d), "betweenness", "eigenvector", "participation_coef"),
-    "hop2_ball": _graph(lambda g: iterative.bfs(g.relations, stored(iterative.pivots(g.vertices, PIVOTS, SEED)), 2)),
-    "bfs_from_pivots": _graph(lambda g: iterative.bfs(g.relations, stored(iterative.pivots(g.vertices, PIVOTS, SEED)))),
+    "hop2_ball": _graph(lambda g: iterative.bfs(g.relations, stored(iterative.pivots(g.vertices, SOURCES, SEED)), 2)),
+    "bfs_from_pivots": _graph(lambda g: iterative.bfs(g.relations, stored(iterative.pivots(g.vertices, SOURCES, SEED)))),
     "closeness": _graph(lambda g: _rounded(iterative.closeness(g.vertices, g.relations), "closeness")),
     "efficiency_exact": _graph(lambda g: _rounded(iterative.global_efficiency(g.vertices, g.relations, None), "global_efficiency")),
-    "efficiency_pivots": _graph(lambda g: _rounded(iterative.global_efficiency(g.vertices, g.relations, PIVOTS, SEED), "global_efficiency")),
+    "efficiency_pivots": _graph(lambda g: _rounded(iterative.global_efficiency(g.vertices, g.relations, EFFICIENCY_SOURCES, SEED), "global_efficiency")),
     "eigenvector_fixed": _graph(lambda g: _rounded(iterative.eigenvector(g.vertices, g.relations, EIGEN_ROUNDS), "eigenvector")),
     "eigenvector": _graph(lambda g: _rounded(iterative.eigenvector(g.vertices, g.relations), "eigenvector")),
     "core_numbers": _graph(lambda g: iterative.core_numbers(g.vertices, g.relations)),
     "bridges": _graph(lambda g: iterative.bridge_features(g.vertices, g.relations)),
     "burt_constraint": _graph(lambda g: _rounded(graph.burt_constraint(g.vertices, g.relations), "burt_constraint")),
     "betweenness_pivots": _graph(lambda g: _rounded(iterative.betweenness(g.vertices, g.relations, PIVOTS, SEED), "betweenness", "load_centrality")),
+    "betweenness": _graph(lambda g: phases.with_norm(iterative.betweenness(g.vertices, g.relations), g.vertices.count()).select("person_id", _r("betweenness"), F.round("betweenness_norm", 4).alias("betweenness_norm"))),
+    "load_centrality": _graph(lambda g: _rounded(iterative.betweenness(g.vertices, g.relations), "load_centrality").select("person_id", "load_centrality")),
     "connected_components": _graph(lambda g: iterative.connected_components(g.vertices, g.relations)),
     "rule_roles": lambda spark, d: features.rule_roles(_features(spark, d)),
     **{f"mo_score_{v}": (lambda spark, d, v=v: _rounded(_scores(spark, d, v), "mo_importance_score")) for v in ("v0", "v1", "v2", "v3")},
     "top_targets": lambda spark, d: features.top_targets(_rounded(_scores(spark, d, "v1"), "mo_importance_score"), _net(spark, d).persons, TOP),
     "coordinator_coverage": lambda spark, d: _rounded(features.role_mix(features.top_targets(_rounded(_scores(spark, d, "v1"), "mo_importance_score"), _net(spark, d).persons, TOP), _net(spark, d).persons), "coverage"),
     "removal_orders": _orders,
-    "disruption_curve": lambda spark, d: _rounded(_trace(spark, d), "cc_normalized", "lcc_normalized"),
-    "disruption_summary": lambda spark, d: _rounded(_summary(spark, d), "AUC_LCC", "Avg_LCC_Reduction_Rate"),
-    "disruption_improvements": lambda spark, d: _rounded(_improvements(spark, d), "Improvement_%"),
+    "disruption_curve": lambda spark, d: _rounded(_trace(spark, d), "cc_normalized", "lcc_normalized", "global_efficiency", "efficiency_normalized"),
+    "disruption_summary": lambda spark, d: _rounded(_summary(spark, d), "AUC_LCC", "AUC_Efficiency", "Avg_LCC_Reduction_Rate"),
+    "disruption_improvements": lambda spark, d: _rounded(disruption.improvements(_summary(spark, d)), "Improvement_%"),
+    "improvement_matrix": lambda spark, d: _rounded(disruption.improvement_matrix(_summary(spark, d)), "lcc_improvement", "efficiency_improvement"),
+    "strategy_bars": lambda spark, d: disruption.side_by_side(_summary(spark, d)),
     "robust_scaled_features": lambda spark, d: _rounded(_scaled(spark, d), "betweenness", "eigenvector", "degree", "incident_count"),
     "confusion_matrix": _matrix,
     "role_f1_report": lambda spark, d: _rounded(metrics.role_report(_matrix(spark, d)), "precision", "recall", "f1"),
@@ -225,12 +290,17 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "noisy_relations": _graph(lambda g: synthetic.noisy_relations(g.persons, g.relations, 0.18, 0.01, SEED)),
     "diagnostics": _diagnostics,
     "events_tumbling": lambda spark, d: events.tumbling(spark.read.parquet(f"{d}/events.parquet")).withColumn("total", F.round("total", 4)).withColumn("window_start", F.col("window_start").cast("timestamp_ntz")),
-    "kmeans_roles": lambda spark, d: models.cluster_roles(models.kmeans_clusters(_scaled(spark, d), ["betweenness", "eigenvector", "degree", "incident_count"], seeds=3), _net(spark, d).persons),
-    "hdbscan_roles": lambda spark, d: models.cluster_roles(models.hdbscan_clusters(_scaled(spark, d), ["betweenness", "eigenvector", "degree", "incident_count"]), _net(spark, d).persons),
-    "forest_roles": lambda spark, d: models.forest_roles(_scaled(spark, d), _net(spark, d).persons, ["betweenness", "eigenvector", "degree", "incident_count"], trees=30, depth=8),
+    "kmeans_roles": lambda spark, d: models.cluster_roles(models.kmeans_clusters(_scaled(spark, d), list(FOUR)), _net(spark, d).persons),
+    "hdbscan_roles": lambda spark, d: models.cluster_roles(models.hdbscan_clusters(_scaled(spark, d), list(FOUR)), _net(spark, d).persons),
+    "forest_roles": lambda spark, d: models.forest_roles(_scaled(spark, d, MODEL_FEATURES), _net(spark, d).persons, list(MODEL_FEATURES)),
+    "supervised_roles": lambda spark, d: _supervised(spark, d)[1],
+    "feature_importances": _importances,
+    "cross_validated_f1": lambda spark, d: spark.createDataFrame([_supervised(spark, d)[2]], "mean double, std double"),
+    "separability": lambda spark, d: _rounded(diagnostics.separability(_features(spark, d), _net(spark, d).persons), "mean", "std"),
     "cv_folds": _cv,
     "link_classifier": _classifier,
-    "subgraph_network": _subgraph_history,
+    "subgraph_network": _subgraph_network,
     "node_embeddings": _embeddings,
+    "analysis": _analysis,
     "generated_network": lambda spark, d: synthetic.generate(spark).relations,
 }

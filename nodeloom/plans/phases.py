@@ -27,11 +27,15 @@ class Settings:
     added_links: int = 0
 
 
+def with_norm(between: DataFrame, n: int) -> DataFrame:
+    """``between`` with betweenness_norm: the betweenness times the (n - 1)(n - 2) / 2 pairs, 0 for two nodes at most."""
+    return between.withColumn("betweenness_norm", F.col("betweenness") * ((n - 1) * (n - 2) / 2 if n > 2 else 0.0))
+
+
 def structural_features(net: Network, s: Settings) -> DataFrame:
     """Structure, communities, behaviour and bridges of every person, as numbers."""
     v, e = net.vertices, net.relations
-    n = v.count()
-    between = iterative.betweenness(v, e, s.pivots, s.seed).withColumn("betweenness_norm", F.col("betweenness") * ((n - 1) * (n - 2) / 2 if n > 2 else 0.0))
+    between = with_norm(iterative.betweenness(v, e, s.pivots, s.seed), v.count())
     parts = [
         graph.degree_features(v, e), between, iterative.closeness(v, e), iterative.eigenvector(v, e), graph.clustering_ego(v, e).drop("degree", "triangles"), iterative.core_numbers(v, e),
         graph.community_features(net.persons, e), graph.burt_constraint(v, e), iterative.bridge_features(v, e),
@@ -97,18 +101,20 @@ def run(spark: SparkSession, folder: str, s: Settings = Settings(), force: bool
     def disrupted() -> dict[str, DataFrame]:
         orders = {"Original": stored(removal_orders(net, p2["scored"], s))}
         orders["SEAL"] = orders["Original"] if not s.added_links else stored(removal_orders(seal, scored_features(seal, s), s))
-        traces = [disruption.disruption_trace(g.vertices, g.relations, orders[name]).withColumn("strategy", disruption.named(F.col("strategy"), name)) for name, g in (("Original", net), ("SEAL", seal))]
+        traces = [disruption.disruption_trace(g.vertices, g.relations, orders[name], seed=s.seed).withColumn("strategy", disruption.named(F.col("strategy"), name)) for name, g in (("Original", net), ("SEAL", seal))]
         trace = stored(traces[0].unionByName(traces[1]))
         summary = stored(disruption.summarise(trace))
-        return {"trace": trace, "summary": summary, "improvements": disruption.improvements(summary)}
+        return {"trace": trace, "summary": summary, "improvements": disruption.improvements(summary), "matrix": disruption.improvement_matrix(summary)}
 
-    p4 = store.once("disruption", ["trace", "summary", "improvements"], disrupted, force)
+    p4 = store.once("disruption", ["trace", "summary", "improvements", "matrix"], disrupted, force)
     roles = p2["scored"].select("person_id", "true_role", "predicted_role")
     matrix = metrics.confusion_matrix(roles)
     report = metrics.role_report(matrix)
     final = diagnostics.final_summary(metrics.weighted_f1(report), metrics.ari_nmi(matrix), p3["link_metrics"], p4["improvements"])
-    checks = diagnostics.report(
-        diagnostics.check_structure(diagnostics.graph_summary(net.vertices, net.relations)), diagnostics.check_roles(features.role_distribution(net.persons)),
-        diagnostics.check_separability(p2["scored"], net.persons), diagnostics.check_inference(report), diagnostics.check_disruption(p4["improvements"]),
-    )
+    quality = p3["link_metrics"].select(F.lit(1).alias("epoch"), F.lit(None).cast("double").alias("train_loss"), F.lit(None).cast("double").alias("val_loss"), F.col("auc").alias("val_auc"), F.col("ap").alias("val_ap"))
+    checks = diagnostics.run_checks(spark, {
+        "structure": lambda: diagnostics.check_structure(diagnostics.graph_summary(net.vertices, net.relations)), "roles": lambda: diagnostics.check_roles(features.role_distribution(net.persons)),
+        "separability": lambda: diagnostics.check_separability(p2["scored"], net.persons), "inference": lambda: diagnostics.check_inference(report),
+        "links": lambda: diagnostics.check_links(quality), "disruption": lambda: diagnostics.check_disruption(p4["improvements"]),
+    })
     return p1 | p2 | p3 | p4 | {"role_report": report, "final": final, "checks": checks}

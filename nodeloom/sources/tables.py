@@ -5,10 +5,11 @@ from __future__ import annotations
 import hashlib
 import json
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nodeloom.operators.graph import Network, canonical_edges
+from nodeloom.operators.store import ranked
 
 SCHEMAS = {
     "persons": "person_id bigint, name string, role string, community int, age int",
@@ -77,8 +78,21 @@ class PhaseStore:
 def shards(edges: DataFrame, parts: int = 3) -> DataFrame:
     """``edges`` with ``shard``: contiguous parts in order of the pair, of m // parts rows, the last with the rest."""
     m = edges.count()
-    row = F.row_number().over(Window.orderBy("from_id", "to_id")) - 1
-    return edges.withColumn("shard", F.least((row / max(1, m // parts)).cast("int"), F.lit(parts - 1)))
+    return ranked(edges, "from_id", "to_id", name="row").withColumn("shard", F.least((F.col("row") / max(1, m // parts)).cast("int"), F.lit(parts - 1))).drop("row")
+
+
+def fingerprint(edges: DataFrame) -> str:
+    """A name of the edge set: order and repeats of reading do not change it."""
+    row = edges.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("from_id", "to_id")).alias("x"), F.sum(F.pmod(F.xxhash64("to_id", "from_id"), F.lit(1 << 31))).alias("s")).first()
+    return hashlib.sha256(f"{row['n']}:{row['x']}:{row['s']}".encode()).hexdigest()[:16]
+
+
+def cached_subgraphs(spark: SparkSession, folder: str, edges: DataFrame, name: str, make, force: bool = False) -> DataFrame:
+    """The subgraphs ``name`` of the graph ``edges``, as Parquet under its fingerprint: another graph never meets them."""
+    at = f"{folder}/{fingerprint(edges)}/{name}"
+    if force or not exists(spark, f"{at}/_SUCCESS"):
+        make().write.mode("overwrite").parquet(at)
+    return spark.read.parquet(at)
 
 
 def preview(df: DataFrame, rows: int = 5) -> DataFrame:
@@ -108,3 +122,18 @@ def load_weights(spark: SparkSession, path: str) -> list:
     import numpy as np
 
     return [np.array(r["v"]).reshape(r["shape"]) for r in spark.read.parquet(path).orderBy("i").collect()]
+
+
+def save_training(spark: SparkSession, net, epoch: int, auc: float, path: str) -> None:
+    """A training state: epoch, AUC, the net's weights and the optimizer's moments and step."""
+    for name, values in (("weights", net.p), ("first", net.m), ("second", net.v)):
+        save_weights(spark, values, f"{path}/{name}")
+    spark.createDataFrame([(epoch, float(auc), net.t)], "epoch int, auc double, step int").coalesce(1).write.mode("overwrite").parquet(f"{path}/state")
+
+
+def load_training(spark: SparkSession, net, path: str) -> tuple[int, float]:
+    """Puts a saved state into ``net``; gives its epoch and AUC."""
+    net.p, net.m, net.v = (load_weights(spark, f"{path}/{name}") for name in ("weights", "first", "second"))
+    row = spark.read.parquet(f"{path}/state").first()
+    net.t = row["step"]
+    return row["epoch"], row["auc"]

@@ -5,8 +5,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from nodeloom.operators import disruption, features, links, metrics, models, subgraph_net
+from nodeloom.operators.store import percentiles, ranked, sums_before
 from nodeloom.plans import diagnostics
 from nodeloom.sources import synthetic, tables
+from nodeloom.streaming import events
 
 
 def test_participants(spark):
@@ -136,3 +138,95 @@ def test_density_clusters_beyond_one_task(spark, monkeypatch):
     persons = spark.range(len(points)).select(F.col("id").alias("person_id"), F.lit("Broker").alias("role"))
     roles = models.infer_roles(df, persons, "enhanced_clustering").collect()
     assert len(roles) == len(points)
+
+
+def test_ranks_and_percentiles(spark):
+    rng = np.random.default_rng(2)
+    x = [*rng.normal(size=400).round(1).tolist(), None]
+    df = spark.createDataFrame([(i, v, 1.0 if v is None else 5.0) for i, v in enumerate(x)], "person_id long, x double, y double").repartition(5)
+    rows = ranked(df, "x", "person_id").collect()
+    assert [r.person_id for r in sorted(rows, key=lambda r: r["rank"])] == sorted(range(401), key=lambda i: (x[i] is not None, x[i] or 0, i)) and {r["rank"] for r in rows} == set(range(401))
+    got = percentiles(df, ["x", "y"], [0.05, 0.5, 0.98])
+    assert got["x"] == pytest.approx(np.percentile(x[:400], [5, 50, 98])) and got["y"] == pytest.approx(np.percentile([5.0] * 400 + [1.0], [5, 50, 98]))
+    assert percentiles(df.where("false"), ["x"], [0.5]) == {"x": [None]}
+    sums = {r.person_id: r.s for r in sums_before(df.where("person_id < 9"), [F.desc("person_id")], {"s": F.col("person_id")}).collect()}
+    assert sums == {i: sum(range(i + 1, 9)) for i in range(9)}
+
+
+def test_checks_and_their_failures(spark):
+    history = spark.createDataFrame([(i, 0.1, 0.1, 0.5 + 0.004 * min(i, 8), 0.5) for i in range(1, 13)], "epoch int, train_loss double, val_loss double, val_auc double, val_ap double")
+
+    def broken():
+        raise OSError("no table")
+
+    got = {r.check: (r.passed, r.issues) for r in diagnostics.run_checks(spark, {"links": lambda: diagnostics.check_links(history, 4), "gone": broken}).collect()}
+    assert got == {"links": (False, ["AUC under 0.55", "AUC does not improve after 10 epochs", "subgraphs under 5 nodes"]), "gone": (False, ["check failed: OSError"])}
+    band = spark.createDataFrame([(0.7,), (0.61,), (0.5,), (0.1,)], "v double").select(diagnostics.quality_band(F.col("v"), "f1").alias("b"))
+    assert [r.b for r in band.collect()] == ["excellent", "good", "fair", "poor"]
+    f = spark.createDataFrame([(i, float(i), 2.0) for i in range(4)], "person_id long, betweenness double, degree double")
+    people = spark.createDataFrame([(i, ("Coordinator", "Peripheral")[i % 2]) for i in range(4)], "person_id long, role string")
+    rows = {(r.role, r.feature): (r["mean"], r.std) for r in diagnostics.separability(f, people).collect()}
+    assert rows["Coordinator", "betweenness"] == pytest.approx((1.0, 2**0.5)) and rows["Peripheral", "degree"] == (2.0, 0.0)
+    assert not diagnostics.check_separability(f, people).first()["passed"]
+
+
+def test_improvement_matrix(spark):
+    rows = [("Degree (Original)", 100.0, 50.0), ("Random (SEAL)", 150.0, 40.0)]
+    summary = spark.createDataFrame(rows, "Strategy string, `Steps_to_50%_LCC` double, `Steps_to_50%_Efficiency` double")
+    assert [tuple(r) for r in disruption.improvement_matrix(summary).collect()] == [("Random (SEAL)", -50.0, 20.0)]
+    assert disruption.improvement_matrix(summary.where("false")).count() == 0
+    assert {tuple(r) for r in disruption.side_by_side(summary).collect()} == {("Degree", 100.0, None), ("Random", None, 150.0)}
+
+
+def test_models_are_kept(spark, tmp_path):
+    rng = np.random.default_rng(0)
+    rows = [(i, ("Broker", "Enabler")[i % 2], float(i % 2) + float(rng.normal(0, 0.1)), float(rng.normal())) for i in range(80)]
+    f = spark.createDataFrame(rows, "person_id long, role string, a double, b double")
+    model, roles, (mean, std) = models.supervised_roles(f, f, ["a", "b"], trees=5, depth=4, folds=3)
+    assert mean > 0.95 and 0 <= std < 0.1 and roles.count() == 80
+    assert [c for _, c, _ in models.importances(model, ["a", "b"])] == ["a", "b"]
+    tables.save_model(model, f"{tmp_path}/m")
+    weighted = f.withColumn("weight", F.lit(1.0))
+    again = tables.load_model(f"{tmp_path}/m").transform(weighted).select("person_id", "predicted_role").collect()
+    assert sorted(again) == sorted(model.transform(weighted).select("person_id", "predicted_role").collect())
+    net, other = (subgraph_net.Net(3, subgraph_net.Settings(hidden=4, top=2, seed=s)) for s in (1, 2))
+    net.step([np.ones_like(p) for p in net.p])
+    tables.save_training(spark, net, 7, 0.75, f"{tmp_path}/t")
+    assert tables.load_training(spark, other, f"{tmp_path}/t") == (7, 0.75) and other.t == 1
+    assert all(np.array_equal(x, y) for one, two in ((net.p, other.p), (net.m, other.m), (net.v, other.v)) for x, y in zip(one, two, strict=True))
+
+
+def test_subgraphs_are_kept_by_graph(spark, tmp_path):
+    edges = spark.createDataFrame([(1, 2), (2, 3)], "from_id long, to_id long")
+    more = edges.unionByName(spark.createDataFrame([(1, 3)], "from_id long, to_id long"))
+    ask = spark.createDataFrame([(1, 2)], "from_id long, to_id long")
+    sizes = [tables.cached_subgraphs(spark, str(tmp_path), e, "test", lambda e=e: links.enclosing_subgraphs(e, ask, 2)).first()["n_edges"] for e in (edges, more, edges)]
+    assert sizes == [2, 3, 2] and tables.fingerprint(edges) == tables.fingerprint(edges.orderBy(F.desc("from_id")))
+    assert tables.preview(links.enclosing_subgraphs(edges, ask, 2)).first()["nodes_size"] == 3
+
+
+def test_subgraph_network_scores_every_pair(spark):
+    net = synthetic.generate(spark)
+    split = links.edge_split(net.relations, 1, 60).where("split <> 'val' OR from_id % 3 = 0")
+    pairs = split.withColumn("label", F.lit(1)).unionByName(links.negative_samples(net.vertices, net.relations, split, 1).withColumn("label", F.lit(0))).where("split = 'train' OR from_id % 5 = 0")
+    settings = subgraph_net.Settings(hidden=8, epochs=2, fit_rows=20, stop_rows=10)
+    inputs = links.node_inputs(net.vertices, net.relations, None, 4)
+    model, history, _ = subgraph_net.train(links.subgraph_inputs(net.relations, subgraph_net.fit_pairs(pairs, settings), inputs, 1), settings)
+    rows = links.subgraph_inputs(net.relations, pairs, inputs, 1)
+    got = subgraph_net.scored(model, rows).collect()
+    assert len(got) == pairs.count() and len(history) <= 2
+    one = rows.first()
+    want = model.forward(np.array(one.x, float), subgraph_net.Net.normal(len(one.x), np.array([(e.i, e.j) for e in one.edge_index])))[0]
+    assert next(r.score for r in got if (r.from_id, r.to_id, r.label) == (one.from_id, one.to_id, one.label)) == pytest.approx(want)
+
+
+def test_streams(spark, tmp_path):
+    df = spark.createDataFrame([(1, "2024-01-01 10:00:00", "a", 2.0), (1, "2024-01-01 10:10:00", "a", 3.0), (1, "2024-01-01 12:00:00", "b", 1.0), (2, "2024-01-02 00:00:00", "a", 1.0)], "user_id long, at_ string, event_type string, value double")
+    df = df.withColumn("ts", F.col("at_").cast("timestamp")).drop("at_")
+    assert sorted((r.user_id, r.n) for r in events.sessions(df).collect()) == [(1, 1), (1, 2), (2, 1)]
+    df.write.parquet(f"{tmp_path}/e")
+    query = events.tumbling(events.event_stream(spark, f"{tmp_path}/e", df.schema)).writeStream.format("memory").queryName("counts").outputMode("complete").start()
+    query.processAllAvailable()
+    query.stop()
+    key = lambda rows: sorted((str(r.window_start), r.event_type, r.n, r.total) for r in rows)
+    assert key(spark.table("counts").collect()) == key(events.tumbling(df).collect())

@@ -1,12 +1,14 @@
 """Closed forms on small graphs, invariants, and published figures of a 400-node network where its files are at hand."""
 
+import hashlib
 import math
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from nodeloom.operators import disruption, graph, iterative
+from nodeloom.operators import csr, disruption, graph, iterative
 from nodeloom.sources import tables
 
 #: A folder with persons.csv and relations.csv of the 400-node network whose published figures are known.
@@ -87,6 +89,64 @@ def test_removal_of_an_absent_node_takes_a_step(spark):
     assert [(r.num_nodes, r.num_edges, r.num_components, r.lcc_size) for r in rows] == [(4, 2, 2, 3), (4, 2, 2, 3), (3, 0, 3, 1)]
 
 
+def some_graph(n=60, m=110, seed=3):
+    rng = random.Random(seed)
+    return n, sorted({(min(a, b), max(a, b)) for a, b in ((rng.randrange(n - 4), rng.randrange(n - 4)) for _ in range(m)) if a != b})
+
+
+def distances(n, pairs, source, alive):
+    near = {i: {b for a, b in [*pairs, *[(y, x) for x, y in pairs]] if a == i and b in alive} for i in alive}
+    seen, front, d, out = {source}, {source}, 0, {}
+    while front:
+        d += 1
+        front = {y for x in front for y in near[x]} - seen
+        seen |= front
+        out |= {y: d for y in front}
+    return out
+
+
+def efficiency(n, pairs, alive, k, seed):
+    sources = sorted(alive, key=lambda i: hashlib.md5(f"{seed}:{i}".encode()).hexdigest())[:k]
+    return sum(1 / d for s in sources for d in distances(n, pairs, s, alive).values()) / (len(sources) * (len(alive) - 1)) if len(alive) > 1 else 0.0
+
+
+def test_arrays_and_rows_agree(spark, monkeypatch):
+    n, pairs = some_graph()
+    v, e = made(spark, n, pairs)
+    ways = [lambda: iterative.betweenness(v, e), lambda: iterative.betweenness(v, e, 20, 1), lambda: iterative.closeness(v, e), lambda: iterative.eigenvector(v, e), lambda: iterative.global_efficiency(v, e, 10, 1)]
+    arrays = [sorted(map(tuple, w().collect())) for w in ways]
+    monkeypatch.setattr(csr, "MOST_NODES", 0)
+    for got, w in zip(arrays, ways, strict=True):
+        want = sorted(map(tuple, w().collect()))
+        assert len(got) == len(want) and all(a == pytest.approx(b, abs=1e-9) for a, b in zip(got, want, strict=True))
+
+
+@pytest.mark.parametrize("most", [1000, 0])
+def test_traces_against_brute_force(spark, monkeypatch, most):
+    monkeypatch.setattr(csr, "MOST_NODES", most)
+    n, pairs = some_graph(24, 40)
+    v, e = made(spark, n, pairs)
+    orders = {"a": [3, 99, 5, 0, 7], "b": [1, 2]}
+    df = spark.createDataFrame([(s, i, x) for s, xs in orders.items() for i, x in enumerate(xs, 1)], "strategy string, rank int, person_id bigint")
+    rows = {(r.strategy, r.step): r for r in disruption.disruption_trace(v, e, df, sources=6, seed=9).collect()}
+    assert len(rows) == 9
+    for s, xs in orders.items():
+        for step in range(len(xs) + 1):
+            alive = set(range(n)) - set(xs[:step])
+            parts = {frozenset({i, *distances(n, pairs, i, alive)}) for i in alive}
+            r = rows[s, step]
+            assert (r.num_nodes, r.num_components, r.lcc_size, r.num_edges) == (len(alive), len(parts), max(map(len, parts)), sum(a in alive and b in alive for a, b in pairs))
+            assert r.global_efficiency == pytest.approx(efficiency(n, pairs, alive, 6, 9))
+            assert r.efficiency_normalized == pytest.approx(efficiency(n, pairs, alive, 6, 9) / efficiency(n, pairs, set(range(n)), 6, 9))
+
+
+def test_induced_and_removed(spark):
+    v, e = made(spark, 5, [(0, 1), (1, 2), (2, 3), (0, 3), (3, 4)])
+    some = v.where("person_id in (0, 1, 3)")
+    assert sorted((r.from_id, r.to_id) for r in graph.induced(e, some).collect()) == [(0, 1), (0, 3)]
+    assert sorted((r.from_id, r.to_id) for r in graph.without(e, v.where("person_id = 3")).collect()) == [(0, 1), (1, 2)]
+
+
 @pytest.mark.skipif(not os.path.isdir(NETWORK), reason="the network's files are not here")
 def test_published_degree_curve(spark):
     net = tables.read_network(spark, NETWORK).kept()

@@ -8,7 +8,7 @@ import pytest
 import __spark_entry__ as entry
 
 SF = "/root/testdata/sf0.001"
-QUICK = ("role_distribution", "node_degree_features", "clustering_ego", "community_features", "behaviour_features", "burt_constraint", "edge_split", "negative_samples", "edge_shards", "noisy_relations", "relations_view", "incidents_view", "events_tumbling")
+QUICK = ("role_distribution", "node_degree_features", "clustering_ego", "community_features", "behaviour_features", "burt_constraint", "edge_split", "negative_samples", "edge_shards", "noisy_relations", "relations_view", "incidents_view", "events_tumbling", "betweenness", "load_centrality", "closeness", "eigenvector", "core_numbers", "bridges", "feature_table", "mo_score_v1", "removal_orders", "cv_folds", "separability", "link_auc", "enclosing_subgraphs")
 
 
 @pytest.fixture(scope="module")
