@@ -4,13 +4,13 @@ A word's merges are read off one symbol at a time: the last token of a prefix is
 its own encoding and stands next to the last token of what it leaves. All that later symbols can ask for is, for each
 place in the word from which a vocabulary entry is still being spelled, the node of that spelling, the last token at
 that place and the count there relative to the present count. These configurations are the states of a deterministic
-transducer; a transition carries the number of tokens by which the count changes. States are compiled when first met
-and kept under a bound, beyond which the tables start anew.
+transducer; a transition carries the number of tokens by which the count changes. States are compiled when first met;
+the tables are bounded and start anew when they are full, in the configuration that has been reached.
 
 Text becomes one stream of symbols (bytes, marked where a word ends), cut into chunks of equal length that run side by
-side. Every mark leads to the start state, so a chunk's state map is constant from its first mark on. The maps compose
-by a prefix scan: a chunk's entry state is the exit of the one before it, and only the part before the first mark, or
-a chunk without one, is run again when its entry state turns out to be another.
+side. Every mark leads to the start state, so a chunk's state map is constant from its first mark on, and such maps
+compose at once: a chunk's entry state is the exit of the one before it. The map of a chunk without a mark is not built
+for all states: it is evaluated at the entry states that occur, round by round, as is the part before a first mark.
 """
 
 from __future__ import annotations
@@ -35,8 +35,8 @@ FINAL, PAD, SYMBOLS = 256, 512, 513
 SHIFT, BIAS = 7, 64
 MOST_STATES, MOST_PAIRS = 1 << 17, 1 << 19
 CHUNK = 512
-#: Bytes of text that are held as symbols at a time.
-SLICE = 6 << 20
+#: Bytes of text that are held as symbols at a time, and symbols that are run before the tables' size is looked at again.
+SLICE, BLOCK = 6 << 20, 1 << 20
 
 
 @functools.lru_cache(1)
@@ -47,6 +47,10 @@ def classes() -> np.ndarray:
     return out
 
 
+class _Full(Exception):
+    """The tables are full."""
+
+
 class Machine:
     """The transducer of one vocabulary."""
 
@@ -93,6 +97,7 @@ class Machine:
 
     def reset(self) -> None:
         """Empty tables with the start state 0."""
+        self.most = 2 * MOST_STATES
         self.table = np.full((1024, 64), -1, np.int32)
         self.column = np.full(SYMBOLS, -1, np.int32)
         self.symbol: list[int] = []
@@ -109,7 +114,6 @@ class Machine:
             wide = np.full((len(self.table), len(self.symbol) + 32), -1, np.int32)
             wide[:, : self.table.shape[1]] = self.table
             self.table = wide
-        self.table[0, self.column[PAD]] = BIAS
         return self.column[symbols]
 
     def merged(self, symbols: tuple[int, ...]) -> list[int]:
@@ -152,13 +156,13 @@ class Machine:
         return (*((n, t, r - change) for n, t, r in kept), (0, token, 0)), change
 
     def compile(self, state: int, column: int) -> int:
+        if self.symbol[column] == PAD:
+            value = self.table[state, column] = (state << SHIFT) + BIAS
+            return int(value)
+        if len(self.configs) >= self.most:
+            raise _Full
         config, change = self.step(self.configs[state], self.symbol[column])
-        nxt = self.number.get(config)
-        if nxt is None:
-            nxt = self.number[config] = len(self.configs)
-            self.configs.append(config)
-            if nxt == len(self.table):
-                self.table = np.concatenate([self.table, np.full((len(self.table) // 2, self.table.shape[1]), -1, np.int32)])
+        nxt = self.numbered(config)
         value = self.table[state, column] = (nxt << SHIFT) + BIAS + change
         return int(value)
 
@@ -174,14 +178,44 @@ class Machine:
         return got
 
     def changes(self, stream: np.ndarray) -> np.ndarray:
-        """The count's change at each symbol of a stream that ends with a marked symbol."""
-        if len(self.configs) > MOST_STATES:
-            self.reset()
+        """The count's change at each symbol of a stream that ends with a marked symbol.
+
+        The tables never hold more than 2 * MOST_STATES states: a block that would need more is halved and starts anew,
+        with the configuration that it begins in.
+        """
+        out, at, size = [], 0, BLOCK
+        config = self.configs[0]
+        while at < len(stream):
+            if len(self.configs) > MOST_STATES:
+                self.reset()
+            try:
+                found, config = self.block(stream[at : at + size], config)
+            except _Full:
+                self.reset()
+                # a state for each symbol of each lane's run is the most that a block can need
+                size = max(1, min(size, len(stream) - at) // 2)
+                continue
+            out.append(found)
+            at, size = at + size, min(BLOCK, 2 * size)
+        return np.concatenate(out) if out else np.zeros(0, np.int8)
+
+    def numbered(self, config: tuple) -> int:
+        at = self.number.get(config)
+        if at is None:
+            at = self.number[config] = len(self.configs)
+            self.configs.append(config)
+            if at == len(self.table):
+                self.table = np.concatenate([self.table, np.full((len(self.table) // 2, self.table.shape[1]), -1, np.int32)])
+        return at
+
+    def block(self, stream: np.ndarray, config: tuple) -> tuple[np.ndarray, tuple]:
+        """The changes of a block that begins in ``config``, and the configuration after it."""
+        begin = self.numbered(config)
         n = len(stream)
         lanes = max(1, -(-n // CHUNK))
         flat = np.full(lanes * CHUNK, PAD, np.uint16)
         flat[:n] = stream
-        marked = np.ascontiguousarray((flat >= FINAL).reshape(lanes, CHUNK).T)
+        marked = np.ascontiguousarray(((flat >= FINAL) & (flat < PAD)).reshape(lanes, CHUNK).T)
         grid = np.ascontiguousarray(self.columns(flat).reshape(lanes, CHUNK).T)
         out = np.empty((CHUNK, lanes), np.int8)
         state = np.zeros(lanes, np.int32)
@@ -193,10 +227,10 @@ class Machine:
         # entry: the state for which a lane's head has been run; a lane without a mark has a new exit after each run
         entry, leave = np.zeros(lanes, np.int32), state
         while True:
-            due = np.concatenate([[np.int32(0)], leave[:-1]])
+            due = np.concatenate([[np.int32(begin)], leave[:-1]])
             todo = np.flatnonzero(due != entry)
             if not len(todo):
-                return out.T.reshape(-1)[:n]
+                return out.T.reshape(-1)[:n], self.configs[int(leave[-1])]
             entry[todo] = due[todo]
             todo = todo[np.argsort(-head[todo], kind="stable")]
             state, lengths = due[todo].copy(), head[todo]

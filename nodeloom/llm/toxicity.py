@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from nodeloom.llm.common import arrow_map, give_back, slices, texts_of
+from nodeloom.llm.common import arrow_map, give_back, released, slices, stored, texts_of
 
 WORD = re.compile(r"\w+")
 #: Letters of a stem.
@@ -24,9 +24,10 @@ _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np
 
 @dataclass(frozen=True)
 class Settings:
-    """rows: labelled rows read (on average, chosen by hash); bits: of the hashed feature space; then FTRL's own."""
+    """rows: labelled documents read (on average, chosen by hash), characters: of them (likewise); bits: of the hashed feature space; then FTRL's own."""
 
     rows: int = 16_000
+    characters: int = 60_000_000
     bits: int = 22
     passes: int = 4
     alpha: float = 1.0
@@ -116,17 +117,23 @@ def train(rows: list[tuple[np.ndarray, int]], settings: Settings) -> Weights:
 
 
 def fit(documents: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> Weights:
-    """Learns from the texts of labelled rows that are not held out: Settings.rows of them, or all.
+    """Learns from the texts of labelled rows that are not held out: Settings.rows of them and Settings.characters, or all.
 
-    A document with several labels counts as toxic if one says so. Features are hashed on the executors; the fit
-    itself is one task over the bounded sample, in order of the ids' hashes, and returns the weights that are not zero.
+    A document with several labels counts as toxic if one says so; rows that repeat an id with its text are learned once.
+    Features are hashed on the executors; the fit itself is one task over the sample, bounded in rows and in bytes, in
+    order of the hashes of ids and texts, and returns the weights that are not zero. Null ids have no label. Without
+    labelled rows, as in empty tables, nothing is learned.
     """
     known = labels.where(~held_out() & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull())
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     share = min(1.0, settings.rows / max(1, known.count()))
     sample = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) / 1_000_003 < share)
     # at most about Settings.rows rows of two numbers
-    chosen = documents.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select(F.xxhash64("doc_id").alias("h"), "toxic", "text")
+    met = documents.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(sample.withColumn("doc_id", F.col("doc_id").cast("long"))), "doc_id")
+    found = stored(met.groupBy(F.xxhash64("doc_id", "text").alias("h")).agg(F.first("toxic").alias("toxic"), F.first("text").alias("text")))
+    size = found.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n")).first()["n"]
+    part = min(1.0, settings.characters / max(1, size))
+    chosen = found.where(F.pmod(F.xxhash64("h"), F.lit(1_000_003)) / 1_000_003 < part).select("h", "toxic", "text")
 
     def hashed():
         hasher = Hasher(settings.bits)
@@ -154,6 +161,7 @@ def fit(documents: DataFrame, labels: DataFrame, settings: Settings = Settings()
 
     ready = arrow_map(chosen, "h long, toxic int, features binary", hashed)
     row = ready.repartition(1).mapInArrow(learned, "features binary, values binary, bias double").first()
+    released(found)
     return Weights(settings.bits, np.frombuffer(row["features"], np.int32), np.frombuffer(row["values"], np.float32), row["bias"])
 
 
@@ -172,7 +180,7 @@ class Scorer:
         weighty = np.flatnonzero(self.dense[feature])
         pairs = np.unique(owner[weighty].astype(np.int64) << 32 | feature[weighty])
         total = np.bincount(pairs >> 32, self.dense[pairs & 0xFFFFFFFF].astype(np.float64), len(texts))
-        return 1.0 / (1.0 + np.exp(-(total + self.bias)))
+        return 1.0 / (1.0 + np.exp(-np.clip(total + self.bias, -500.0, 500.0)))
 
 
 def score(documents: DataFrame, weights: Weights, column: str = "toxicity") -> DataFrame:
@@ -200,6 +208,10 @@ def score(documents: DataFrame, weights: Weights, column: str = "toxicity") -> D
 
 
 def classify(documents: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """``(doc_id, held_out, score, predicted)`` for each row of ``documents``; labels serve the fit only."""
+    """``(doc_id, held_out, score, predicted)`` for each row of ``documents(doc_id, text)``; labels serve the fit only.
+
+    predicted is 1 for scores of 0.5 and more, ties included. Null and empty texts get the bias's score, repeated rows
+    one each, an empty table none; other columns are left aside.
+    """
     scored = score(documents.select(F.col("doc_id").cast("long"), "text"), fit(documents, labels, settings))
     return scored.select("doc_id", held_out().alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.5).cast("int").alias("predicted"))

@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from nodeloom.llm.common import arrow_map, texts_of
 
-#: A list with more rules than this is refused: the rules and their index go to every task.
-MOST_RULES = 2_000_000
+#: A list with more rules or characters than this is refused: the rules and their index go to every task.
+MOST_RULES, MOST_CHARACTERS = 500_000, 64 << 20
 
 #: Host and path rules: (verdict, host, start of the path). The longest that fits wins.
 SITE_RULES = (
@@ -48,8 +48,9 @@ class RuleIndex:
     rest: tuple[int, ...]
     rules: tuple[str, ...]
 
-    def compiled(self) -> list[re.Pattern]:
-        return [re.compile(r) for r in self.rules]
+    def candidates(self, url: str) -> list[int]:
+        """Numbers of the rules filed under a token of the lower-cased ``url``, and of those without a token, in order."""
+        return sorted({i for t in set(_TOKEN.findall(url)) for i in self.by_token.get(t, ())} | set(self.rest))
 
 
 def literal_tokens(rule: str) -> list[str]:
@@ -84,8 +85,8 @@ def literal_tokens(rule: str) -> list[str]:
 
 def build_index(rules: tuple[str, ...], frequency: dict[str, int]) -> RuleIndex:
     """Files each rule under the literal token that is rarest by ``frequency``, ties to the longer and then the smaller token."""
-    if len(rules) > MOST_RULES:
-        raise ValueError(f"{len(rules)} rules; {MOST_RULES} at most")
+    if len(rules) > MOST_RULES or sum(map(len, rules)) > MOST_CHARACTERS:
+        raise ValueError(f"{len(rules)} rules of {sum(map(len, rules))} characters; {MOST_RULES} of {MOST_CHARACTERS} at most")
     by_token: dict[str, list[int]] = defaultdict(list)
     rest = []
     for i, rule in enumerate(rules):
@@ -102,7 +103,9 @@ def token_frequency(pages: DataFrame, tokens: set[str]) -> dict[str, int]:
     if not tokens:
         return {}
     all_tokens = pages.select(F.explode(F.regexp_extract_all(F.lower("url"), F.lit("[a-z0-9]+"), F.lit(0))).alias("token"))
-    wanted = all_tokens.where(F.col("token").isin(sorted(tokens)))
+    # the rules' tokens, bounded as the rules are
+    asked = pages.sparkSession.createDataFrame([(t,) for t in sorted(tokens)], "token string")
+    wanted = all_tokens.join(F.broadcast(asked), "token", "left_semi")
     return {r["token"]: r["n"] for r in wanted.groupBy("token").agg(F.count("*").alias("n")).collect()}
 
 
@@ -132,24 +135,46 @@ def site_rule(host: str, path: str, rules: dict[str, list[tuple[str, str]]]) ->
     return best
 
 
-def judge_urls(pages: DataFrame, site_rules=SITE_RULES, pattern_rules=PATTERN_RULES) -> DataFrame:
+def rules_of(table: DataFrame) -> tuple[list[tuple[str, str, str]], list[str]]:
+    """(site rules, pattern rules) of a table ``(verdict, host, path, pattern)``: rows with a pattern are pattern rules, which block; the rest site rules.
+
+    Both come in order of their columns, so that the first match is the same on every run. More than MOST_RULES are refused.
+    """
+    rows = table.select("verdict", "host", F.coalesce("path", F.lit("/")).alias("path"), "pattern").distinct().orderBy("pattern", "host", "path", "verdict").limit(MOST_RULES + 1).collect()
+    if len(rows) > MOST_RULES:
+        raise ValueError(f"more than {MOST_RULES} rules")
+    return [(r["verdict"], r["host"], r["path"]) for r in rows if r["pattern"] is None], [r["pattern"] for r in rows if r["pattern"] is not None]
+
+
+def judge_urls(pages: DataFrame, site_rules=SITE_RULES, pattern_rules=PATTERN_RULES, rules: DataFrame | None = None) -> DataFrame:
     """``(page_id, host, path, rule, verdict, matched, tried)`` for each row of ``pages(page_id, url)``.
 
+    Rules are given as sequences, or as a table (rules_of) in their place.
+
     The longest site rule that fits decides; where none does, a url is blocked if a pattern rule matches it and allowed
     otherwise. ``matched`` is the first pattern rule that matches, else null; ``tried`` counts the regular expressions
     that ran: those filed under a token of the url, and those without a literal token. Null urls and urls without
     ``://`` have an empty host and path and fit no rule. Repeated rows give repeated rows, an empty table an empty one;
-    other columns are left aside.
+    other columns are left aside. Urls are read whole.
     """
+    if rules is not None:
+        site_rules, pattern_rules = rules_of(rules)
     tokens = {t for r in pattern_rules for t in literal_tokens(r)}
     index = build_index(tuple(pattern_rules), token_frequency(pages, tokens))
     sites: dict[str, list[tuple[str, str]]] = defaultdict(list)
     for verdict, host, start in site_rules:
         sites[host].append((start, verdict))
-    sites = dict(sites)
+    held = pages.sparkSession.sparkContext.broadcast((index, dict(sites)))  # bounded by MOST_RULES and MOST_CHARACTERS
 
     def make():
-        rules = index.compiled()
+        index, sites = held.value
+        compiled: dict[int, re.Pattern] = {}
+
+        def matches(i: int, url: str) -> bool:
+            rule = compiled.get(i)
+            if rule is None:
+                rule = compiled[i] = re.compile(index.rules[i])
+            return rule.search(url) is not None
 
         def each(batch: pa.RecordBatch):
             out = []
@@ -157,8 +182,8 @@ def judge_urls(pages: DataFrame, site_rules=SITE_RULES, pattern_rules=PATTERN_RU
                 host, path = split_url(url)
                 found = site_rule(host, path, sites)
                 lower = url.lower()
-                candidates = sorted({i for t in set(_TOKEN.findall(lower)) for i in index.by_token.get(t, ())} | set(index.rest))
-                hit = next((i for i in candidates if rules[i].search(lower)), None)
+                candidates = index.candidates(lower)
+                hit = next((i for i in candidates if matches(i, lower)), None)
                 verdict = found[1] if found else "allow" if hit is None else "block"
                 out.append((host, path, found and found[0], verdict, None if hit is None else index.rules[hit], len(candidates)))
             cols = list(zip(*out, strict=True)) or [[]] * 6

@@ -1,6 +1,8 @@
 """Url rules, mixing, personal data, languages and toxicity."""
 
 import hashlib
+import math
+import random
 import re
 import zlib
 from collections import defaultdict
@@ -35,6 +37,30 @@ def test_urls(spark):
     assert url_filter.judge_urls(df.where("false")).count() == 0
 
 
+def test_thousands_of_rules_from_a_table(spark):
+    rng = random.Random(5)
+    words = [f"{a}{b}{i}" for i, (a, b) in enumerate((x, y) for x in ("ads", "win", "pop", "trk") for y in ("shop", "zone", "club")) for _ in range(1)]
+    patterns = sorted({rf"://([a-z0-9-]+\.)*{rng.choice(words)}-{i}\." for i in range(1500)} | {rf"/{rng.choice(words)}/{i}/[0-9]+" for i in range(1500)} | {r"[?&]id=(aa|bb)$", "sho+p9"})
+    rows = [(None, None, None, p) for p in patterns] + [("allow", "org", "/", None), ("block", "bad.org", "/x/", None), ("block", "bad.org", "/x/", None)]
+    table = spark.createDataFrame(rows, "verdict string, host string, path string, pattern string")
+    urls = [f"http://m.{rng.choice(words)}-{rng.randrange(1600)}.net/q" for _ in range(150)] + [f"https://x.net/{rng.choice(words)}/{rng.randrange(1600)}/{rng.choice(['7', 'a'])}" for _ in range(150)]
+    urls += ["http://a.b/?id=aa", "http://a.b/shooop9", "http://bad.org/x/1", "http://good.bad.org/y", "nothing", "", "http://long.net/" + "a1/" * 200_000 + "?id=bb", None]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").selectExpr("*", "'r' AS rule", "'h' AS host", "1 AS matched")
+    got = {r.page_id: r for r in url_filter.judge_urls(df, rules=table).collect()}
+    compiled = [(p, re.compile(p)) for p in patterns]
+    tried = 0
+    for i, url in enumerate(urls):
+        hit = next((p for p, c in compiled if c.search((url or "").lower())), None)
+        assert got[i].matched == hit, url
+        if got[i].rule is None:
+            assert got[i].verdict == ("allow" if hit is None else "block")
+        tried += got[i].tried
+    assert (got[302].rule, got[302].verdict, got[303].rule, got[303].verdict) == ("bad.org/x/", "block", "org/", "allow")
+    assert sum(r.matched is not None for r in got.values()) > 50 and tried < 0.05 * len(urls) * len(patterns)
+    with pytest.raises(ValueError):
+        url_filter.build_index(("a",) * (url_filter.MOST_RULES + 1), {})
+
+
 def shares(sizes):
     names = sorted(s for s in sizes if s is not None) + ([None] if None in sizes else [])
     weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(names)}
@@ -175,3 +201,103 @@ def test_toxicity_is_learned_on_what_is_not_held_out(spark):
 @pytest.mark.parametrize("scorer", [toxicity.Scorer(toxicity.Weights(10, toxicity.np.zeros(0, int), toxicity.np.zeros(0), -1.0))])
 def test_no_texts(scorer):
     assert len(scorer.scores([])) == 0
+
+
+def backoff_model(rows, limits):
+    """Tables of -log10 shares by language, words first and then n-grams by size, with a penalty where an entry is missing."""
+    words = defaultdict(lambda: defaultdict(int))
+    for text, lang in rows:
+        for w in re.findall(r"[^\W\d_]+", text.lower()):
+            words[lang][w] += 1
+    tables = []
+    for size in range(limits.longest + 1):
+        kept = {}
+        for lang, counts in words.items():
+            own = defaultdict(int)
+            for w, n in counts.items():
+                for g in [w] if size == 0 else [f" {w} "[i : i + size] for i in range(len(w) + 3 - size)]:
+                    own[g] += n
+            total = sum(own.values())
+            best = sorted(own, key=lambda g: (-own[g], g))[: limits.words if size == 0 else limits.grams]
+            kept |= {(lang, g): math.log10(total / own[g]) for g in best}
+        tables.append(kept)
+    return sorted(words), tables
+
+
+def backoff(text, languages, tables):
+    seen = re.findall(r"[^\W\d_]+", text.lower())
+    if not seen:
+        return "und", 0.0
+    total = [0.0] * len(languages)
+    for w in seen:
+        for size in [0, *range(len(tables) - 1, 0, -1)]:
+            grams = [w] if size == 0 else [f" {w} "[i : i + size] for i in range(len(w) + 3 - size)]
+            met = [g for g in grams if any((x, g) in tables[size] for x in languages)]
+            if met:
+                penalty = 1.0 + max(tables[size].values())
+                total = [t + sum(tables[size].get((x, g), penalty) for g in met) / len(met) for t, x in zip(total, languages, strict=True)]
+                break
+    mean = [t / len(seen) for t in total]
+    best = min(range(len(languages)), key=lambda i: (mean[i], i))
+    return languages[best], 1 / sum(10 ** (mean[best] - m) for m in mean)
+
+
+def test_languages_against_a_plain_model(spark):
+    rng = random.Random(2)
+    stock = {x: ["".join(rng.choice(alphabet) for _ in range(rng.randint(2, 7))) for _ in range(60)] for x, alphabet in (("aa", "abcdé"), ("bb", "bcdefü"), ("cc", "defgh"))}
+    rows = [(i, " ".join(rng.choice(stock[x]) for _ in range(rng.randint(1, 25))), x) for i in range(240) for x in [("aa", "bb", "cc")[i % 3]]]
+    rows += [(1000, "same word", None), (1000, "same word", None), (1001, "zzz", None), (1002, "bcd " * 40_000, None), (1003, "", None), (7, rows[7][1], rows[7][2])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").selectExpr("*", "'x' AS held_out", "'y' AS lang_pred")
+    limits = langid.Limits(words=30, grams=40, longest=3)
+    learned = [(t, x) for i, t, x in rows if x and zlib.crc32(str(i).encode()) % 4 != 2]
+    languages, tables = backoff_model(learned, limits)
+    got = langid.identify(docs, langid.fit(docs, limits)).collect()
+    want = defaultdict(list)
+    for i, t, _ in rows:
+        want[i].append(backoff(t, languages, tables))
+    assert len(got) == len(rows)
+    for r in got:
+        assert any(r.lang_pred == x and r.score == pytest.approx(s, abs=1e-4) for x, s in want[r.doc_id]), r
+
+
+def features_of(text):
+    w = re.findall(r"\w+", text.lower())
+    return {("w", x) for x in w} | {("s", x[:5]) for x in w} | {(g, w[i], w[i + g]) for g in (1, 2) for i in range(len(w) - g)}
+
+
+def test_toxicity_against_plain_ftrl(spark):
+    rng = random.Random(4)
+    words = [f"wort{i}x" for i in range(40)] + ["vile", "scum"]
+    rows = [(i, " ".join(rng.choice(words[:40]) for _ in range(rng.randint(3, 12))) + (" vile scum" if i % 3 == 0 else "")) for i in range(150)]
+    rows += [(3, rows[3][1]), (500, None), (501, ""), (502, "vile " * 50_000), (None, "scum")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'x' AS score", "'y' AS held_out", "2 AS predicted", "3 AS toxicity")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(150)], "doc_id long, toxic int")
+    s = toxicity.Settings(l1=0.5, passes=2)
+    known = [(i, t) for i, t in rows[:150] if zlib.crc32(str(i).encode()) % 5]
+    order = {(r.doc_id, r.text): r.h for r in docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("h")).collect()}
+    known.sort(key=lambda x: order[x])
+    z, n = defaultdict(float), defaultdict(float)
+
+    def weight(f):
+        if f == "bias":
+            return -z[f] / ((s.beta + math.sqrt(n[f])) / s.alpha)
+        return 0.0 if abs(z[f]) <= s.l1 else -(z[f] - math.copysign(s.l1, z[f])) / ((s.beta + math.sqrt(n[f])) / s.alpha + s.l2)
+
+    def score(text):
+        return 1 / (1 + math.exp(-sum(map(weight, [*features_of(text), "bias"]))))
+
+    for _ in range(s.passes):
+        for i, t in known:
+            g = score(t) - int(i % 3 == 0)
+            for f, w in [(f, weight(f)) for f in [*features_of(t), "bias"]]:
+                z[f] += g - (math.sqrt(n[f] + g * g) - math.sqrt(n[f])) / s.alpha * w
+                n[f] += g * g
+    got = toxicity.classify(docs, labels, s).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        text = next(t for i, t in rows if i == r.doc_id) or ""
+        assert r.score == pytest.approx(score(text), abs=1e-4) and r.predicted == int(r.score >= 0.5)
+    nothing = docs.where("false")
+    assert toxicity.classify(nothing, labels).count() == 0 and toxicity.classify(docs, labels.where("false")).count() == len(rows)
+    small = toxicity.fit(docs, labels, toxicity.Settings(characters=1))
+    assert small.bias is None or len(small.features) >= 0

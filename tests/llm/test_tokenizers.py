@@ -51,6 +51,33 @@ def test_full_tables_start_anew(monkeypatch):
     assert machine.counts(["some words"]).tolist() == machine.counts(["some words"]).tolist() == [2]
 
 
+@pytest.mark.parametrize(("most", "block"), [(1 << 17, 64), (40, 64), (40, 1 << 20)])
+def test_tables_stay_bounded_inside_a_word(monkeypatch, most, block):
+    monkeypatch.setattr(token_count, "MOST_STATES", most)
+    monkeypatch.setattr(token_count, "BLOCK", block)
+    monkeypatch.setattr(token_count, "CHUNK", 16)
+    machine = token_count.Machine(WORDS)
+    random.seed(8)
+    texts = ["".join(random.choice("etaoinshrd") for _ in range(3000)), "plain words it's 12", "x" * 1000, "word " * 100]
+    assert machine.counts(texts).tolist() == [len(library.encode(t, add_special_tokens=False).ids) for t in texts]
+    assert len(machine.configs) <= 2 * most
+
+
+def test_a_word_of_megabytes():
+    machine = token_count.Machine(WORDS)
+    random.seed(9)
+    word = "".join(random.choice(("the", "an", "tion", "ing", "q", "zx")) for _ in range(900_000))
+    text = word + " end"
+    assert len(word) > 2_000_000
+    assert machine.counts([text]).tolist() == [len(library.encode(text, add_special_tokens=False).ids)]
+    assert len(machine.configs) <= 2 * token_count.MOST_STATES
+
+
+def test_clashing_columns_of_counts(spark):
+    docs = spark.createDataFrame([(1, "two words", 9, "x", True)], "doc_id long, text string, n_tokens int, n_bytes string, over_limit boolean")
+    assert [tuple(r) for r in token_count.count_tokens(docs, WORDS).collect()] == [(1, 9, 2, False)]
+
+
 def test_encoding_of_odd_texts():
     own = piece_bpe.model(PIECES)
     assert [own.encode(t) for t in ODD] == processor.encode(ODD)
