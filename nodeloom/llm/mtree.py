@@ -1,6 +1,7 @@
 """Exact top-k by inner product over integer vectors, in M-trees.
 
-Every block of vectors is an M-tree of paged nodes: an entry of an inner node has a routing vector, the covering radius
+Vectors are dealt into blocks around pivots; a query's own block gives it a bound, and it meets another block only if
+the block's ball may hold a better score. Every block is an M-tree of paged nodes: an entry of an inner node has a routing vector, the covering radius
 of its page and the distance to the routing vector of the node above; an entry of a leaf has a vector and that distance.
 Search takes pages best first by a bound of the inner product,
 
@@ -20,7 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nodeloom.llm.vector_blocks import search, usable
+from nodeloom.llm.vector_blocks import Kind, search, usable
 
 PAGE, FANOUT = 128, 64
 SLACK = 1e-6
@@ -92,19 +93,19 @@ class Tree:
         self.away, self.radius, self.most, self.route = parts["away"], parts["radius"], parts["most"], parts["route"]
         self.computed = 0  # distances
 
-    def top(self, query: np.ndarray, k: int, ids: np.ndarray, own: int) -> list[tuple[int, int]]:
-        """(-score, id) of the k best rows whose id is not ``own``, best first."""
+    def top(self, query: np.ndarray, k: int, ids: np.ndarray, own: int, least: float = -np.inf) -> list[tuple[int, int]]:
+        """(-score, id) of the k best rows whose id is not ``own`` and whose score is ``least`` or more, best first."""
         norm = float((query**2).sum())
         best: list[tuple[int, int]] = []  # a heap with the worst in front, as (score, -id)
         first = float(np.sqrt(((query - self.vectors[self.route[0]]) ** 2).sum()))
         heap = [(-np.inf, 0, first)]
         while heap:
             bound, node, above = heapq.heappop(heap)
-            if len(best) == k and -bound < best[0][0]:
+            worst = max(least, best[0][0]) if len(best) == k else least
+            if -bound < worst:
                 break
             span = slice(self.start[node], self.start[node + 1])
             entry, radius, most = self.entry[span], self.radius[span], self.most[span]
-            worst = best[0][0] if len(best) == k else -np.inf
             # what the stored distances alone allow
             low = np.maximum(0.0, np.abs(above - self.away[span]) - radius) * (1 - SLACK)
             open_ = np.flatnonzero((norm + most - low**2) / 2 + SLACK * norm + 1 >= worst)
@@ -131,31 +132,41 @@ class Tree:
         return sorted((-s, -i) for s, i in best)
 
 
-def _index(ids: np.ndarray, data: np.ndarray) -> bytes:
+def _open(distance, product, norms, radius, most, bounds):
+    """Blocks that may hold a product as high as the bound: by the ball around the centre, from distances and from the product with it."""
+    by_distance = (norms + most - (np.maximum(0.0, distance - radius) * (1 - SLACK)) ** 2) / 2
+    return np.minimum(by_distance, product + np.sqrt(norms) * radius) + SLACK * (norms + most) + 1 >= bounds
+
+
+def _index(data: np.ndarray) -> bytes:
     out = io.BytesIO()
     np.savez(out, **build(integers(data)))
     return out.getvalue()
 
 
-def _find(ids, data, index, query_ids, queries, k):
+def _find(ids, data, index, query_ids, queries, bounds, k):
     with np.load(io.BytesIO(index)) as parts:
         tree = Tree(integers(data), dict(parts))
     out: list[tuple[int, int, int]] = []
-    for q, v in zip(query_ids.tolist(), integers(queries), strict=True):
-        out += [(q, i, -s) for s, i in tree.top(v, k, ids, q)]
+    for q, v, least in zip(query_ids.tolist(), integers(queries), np.where(np.isnan(bounds), -np.inf, bounds), strict=True):
+        out += [(q, i, -s) for s, i in tree.top(v, k, ids, q, least)]
     return list(zip(*out, strict=True)) or [[], [], []]
 
 
+PRODUCTS = Kind(_index, integers, _find, _open, "long", True)
+
+
 def top_products(embeddings: DataFrame, k: int = 10, every: int = 100) -> DataFrame:
     """``(query_id, rank, vec_id, score)``: the ``k`` highest integer inner products of each query, ties to the smaller vec_id.
 
-    Components become floor(1024 * x). Queries are the ids divisible by ``every``, one for each id; candidates are all
-    rows of ``embeddings(vec_id, embedding)`` with another id and as many components, all if fewer than k. Null vectors, null ids and
-    vectors with a null or non-finite component take no part. Repeated rows are candidates each. Sums of products are
+    Components become floor(1024 * x). Queries are the ids divisible by ``every``; the rows of a repeated id ask each,
+    and their finds are ranked together. Candidates are all rows of ``embeddings(vec_id, embedding)`` with another id and
+    as many components, all if fewer than k. Null vectors, null ids, empty vectors and vectors with a null or non-finite
+    component take no part. Repeated rows are candidates each. Sums of products are
     exact while they stay below 2^53. An empty table gives an empty one; other columns are left aside.
     """
     rows = usable(embeddings).where("dim > 0")
-    return search(rows.where(F.col("vec_id") % every == 0), rows, _index, _find, k, "long", True)
+    return search(rows.where(F.col("vec_id") % every == 0), rows, PRODUCTS, k)
 
 
 ORACLE = """

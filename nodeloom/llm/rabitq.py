@@ -5,7 +5,8 @@ With o the unit vector and s its code as a unit vector, a query's unit vector q
 error of about sqrt((1 - <o, s>^2) / <o, s>^2 / (dim - 1)), whatever the data. <s, q> comes from packed bits: the query
 is rounded to BITS-bit integers, and each bit plane meets the codes by AND and popcount. The stored scalars (length,
 <o, s>, count of ones) turn it into a distance with an error bound of ERROR such deviations. The vectors whose lower
-bound is not above the k-th distance of the FIRST * k that look nearest are measured exactly.
+bound is not above the k-th distance so far are measured exactly: that of the FIRST * k that look nearest in a query's
+own block, and that of its whole first pass in the blocks around other pivots.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nodeloom.llm.vector_blocks import search, usable
+from nodeloom.llm.vector_blocks import Kind, search, usable
 
 BITS = 6
 #: Standard deviations that the error bound spans.
@@ -25,6 +26,7 @@ ERROR = 1.9
 #: Times k vectors are measured to begin with.
 FIRST = 4
 SEED = 20240517
+SLACK = 1e-9
 
 
 @functools.lru_cache(4)
@@ -78,21 +80,23 @@ def bounds(parts: dict[str, np.ndarray], query: np.ndarray) -> tuple[np.ndarray,
     return base - swing * np.minimum(1.0, estimate + error), base - swing * np.maximum(-1.0, estimate - error)
 
 
-def _index(ids: np.ndarray, data: np.ndarray) -> bytes:
+def _index(data: np.ndarray) -> bytes:
     out = io.BytesIO()
     np.savez(out, **encode(data))
     return out.getvalue()
 
 
-def _find(ids, data, index, query_ids, queries, k):
+def _find(ids, data, index, query_ids, queries, bounds_, k):
     with np.load(io.BytesIO(index)) as found:
         parts = dict(found)
     q_out, v_out, s_out = [], [], []
-    for q, v in zip(query_ids.tolist(), queries, strict=True):
+    for q, v, bound in zip(query_ids.tolist(), queries, bounds_.tolist(), strict=True):
         low, high = bounds(parts, v)
         other = np.flatnonzero(ids != q)
         low, middle = low[other], (low + high)[other]
-        if len(other) > FIRST * k:
+        if not np.isnan(bound):  # the k-th distance so far rules out more than this block's own would
+            chosen = other[low <= bound**2 * (1 + SLACK)]
+        elif len(other) > FIRST * k:
             first = other[np.argpartition(middle, FIRST * k)[: FIRST * k]]
             kth = np.partition(((data[first] - v) ** 2).sum(1), k - 1)[k - 1]
             chosen = np.union1d(first, other[low <= kth])
@@ -106,13 +110,20 @@ def _find(ids, data, index, query_ids, queries, k):
     return q_out, v_out, s_out
 
 
+def _open(distance, product, norms, radius, most, bounds):
+    return distance - radius <= bounds * (1 + SLACK) + SLACK * np.sqrt(norms + most)
+
+
+DISTANCES = Kind(_index, lambda data: data, _find, _open, "double", False)
+
+
 def nearest(embeddings: DataFrame, k: int = 10, every: int = 100) -> DataFrame:
     """``(query_id, rank, vec_id, score)``: the ``k`` nearest found for each query, score the Euclidean distance, ties to the smaller vec_id.
 
-    Queries are the ids divisible by ``every``, one for each id; candidates are all rows of
-    ``embeddings(vec_id, embedding)`` with another id and as many components, all if fewer than k. Null and zero vectors, null
-    ids and vectors with a null or non-finite component take no part. Repeated rows are candidates each. An empty table
+    Queries are the ids divisible by ``every``; the rows of a repeated id ask each, and their finds are ranked together.
+    Candidates are all rows of ``embeddings(vec_id, embedding)`` with another id and as many components, all if fewer
+    than k. Null, empty and zero vectors, null ids and vectors with a null or non-finite component take no part. Repeated rows are candidates each. An empty table
     gives an empty one; other columns are left aside.
     """
     rows = usable(embeddings).where(F.exists("v", lambda x: x != 0))
-    return search(rows.where(F.col("vec_id") % every == 0), rows, _index, _find, k, "double", False)
+    return search(rows.where(F.col("vec_id") % every == 0), rows, DISTANCES, k)

@@ -1,18 +1,42 @@
-"""Vectors in blocks of bounded size, and the meeting of query groups with blocks."""
+"""Vectors in blocks by their nearest pivot, and the meeting of query groups with the blocks that their bounds leave open."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from nodeloom.llm.common import arrow_map, stored
+from nodeloom.llm.common import arrow_map, joined_to_keys, released, stored
 
 #: Vectors in a block and queries in a group, on average.
 BLOCK, GROUP = 4096, 512
+#: Pivots of a dimension at most, and blocks whose balls are sent to the tasks at a time.
+MOST_PIVOTS, MOST_SENT = 256, 20_000
+#: Blocks whose numbers, 12 bytes each, are sent to the tasks.
+MOST_NUMBERS = 1 << 20
+
+
+@dataclass(frozen=True)
+class Kind:
+    """What a search does with a block.
+
+    ``index(data)`` makes a block's index, as bytes. ``space(data)`` are the vectors as the bounds see them.
+    ``find(ids, data, index, query_ids, queries, bounds, k)`` gives (query_id, vec_id, score) of a block's best for each
+    query, k of them or those that its bound, the k-th score so far or NaN, does not rule out; it leaves out the query's
+    own rows. ``open(distance, product, norms, radius, most, bounds)`` tells which queries a block may still serve, from
+    the queries' distances to and products with its centre.
+    """
+
+    index: Callable
+    space: Callable
+    find: Callable
+    open: Callable
+    score: str
+    descending: bool
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -22,26 +46,59 @@ def usable(vectors: DataFrame) -> DataFrame:
     return vectors.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull()).where(fine).select(F.col("vec_id").cast("long"), v.alias("v"), F.size("embedding").alias("dim"))
 
 
-def packed(rows: DataFrame, size: int, name: str) -> DataFrame:
-    """Blocks of about ``size`` rows: ``(dim, name, ids binary, data binary)``, ids as int64 and components as float64.
+def pivots_of(rows: DataFrame) -> dict[int, np.ndarray]:
+    """For each dimension some vectors, chosen by hash: one for each block, MOST_PIVOTS at most. About four times as many rows are gathered."""
+    n = rows.count()
+    mixed = rows.withColumn("h", F.xxhash64("v", "vec_id"))
+    share = min(1.0, 4 * MOST_PIVOTS / max(1, n))
+    sample = mixed.where(F.pmod("h", F.lit(1_000_003)) / 1_000_003 < share).orderBy("h").limit(8 * MOST_PIVOTS).select("dim", "v", "h").collect()
+    out: dict[int, list] = {}
+    for r in sample:
+        out.setdefault(r["dim"], []).append(r["v"])
+    most = min(MOST_PIVOTS, -(-n // BLOCK))
+    return {dim: np.unique(np.array(vs[:most], np.float64), axis=0) for dim, vs in out.items()}
+
 
-    Rows are dealt by the hash of their id and vector, so that copies spread and no block depends on the data's shape.
-    A block's rows are gathered in one task: at most a few thousand by construction.
+def assigned(rows: DataFrame, pivots: dict[int, np.ndarray]) -> DataFrame:
+    """``(vec_id, v, dim, cell)``, written once: a cell is the vectors of one dimension that one pivot is nearest to."""
+    held = rows.sparkSession.sparkContext.broadcast(pivots)  # 8 * MOST_PIVOTS vectors at most
+
+    def make():
+        def each(batch: pa.RecordBatch):
+            dims, lists = batch.column(2).to_numpy(), batch.column(1)
+            values, starts = lists.values.to_numpy(), lists.offsets.to_numpy()
+            near = np.zeros(len(dims), np.int64)
+            for dim in np.unique(dims):
+                own = held.value.get(int(dim))
+                if own is not None and dim > 0 and len(own) > 1:
+                    at = np.flatnonzero(dims == dim)
+                    x = values[starts[at][:, None] + np.arange(dim)]
+                    near[at] = ((own**2).sum(1)[None, :] - 2 * x @ own.T).argmin(1)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(dims.astype(np.int64) * MOST_PIVOTS + near)], names=[*batch.schema.names, "cell"])
+
+        return each
+
+    return stored(arrow_map(rows.select("vec_id", "v", "dim"), "vec_id long, v array<double>, dim int, cell long", make))
+
+
+def packed(rows: DataFrame, size: int, name: str, total: int) -> DataFrame:
+    """Blocks of about ``size`` rows of a cell: ``(dim, cell, name, ids, data, bounds)``, ids as int64, the others as float64.
+
+    ``rows(vec_id, v, dim, cell, bound)``. A cell's rows are dealt by the hash of their id and vector, so that a cell of
+    any size, also of copies, spreads. A block's rows are gathered in one task: a few thousand by construction.
     """
-    counts = {r["dim"]: r["n"] for r in rows.groupBy("dim").agg(F.count("*").alias("n")).collect()}
-    if not counts:
-        counts = {0: 0}
-    blocks = F.create_map(*(F.lit(x) for dim, n in counts.items() for x in (dim, max(1, -(-n // size)))))
-    dealt = rows.withColumn("b", F.pmod(F.xxhash64("vec_id", "v"), blocks[F.col("dim")]).cast("int"))
+    counts = stored(rows.groupBy("cell").agg(F.count("*").alias("n")))
+    dealt = joined_to_keys(rows, counts, "cell", "n", total, "inner").withColumn("b", F.pmod(F.xxhash64("vec_id", "v"), F.ceil(F.col("n") / size)).cast("int"))
 
     def pack(batch: pa.Table) -> pa.Table:
         ids = batch["vec_id"].to_numpy().astype(np.int64)
         data = np.concatenate([c.values.to_numpy()[c.offsets[0].as_py() : c.offsets[-1].as_py()] for c in batch["v"].chunks]) if len(ids) else np.zeros(0)
         order = np.argsort(ids, kind="stable")
         data = data.reshape(len(ids), -1)[order]
-        return pa.table({"dim": batch["dim"].slice(0, 1), name: batch["b"].slice(0, 1), "ids": pa.array([ids[order].tobytes()], pa.binary()), "data": pa.array([data.tobytes()], pa.binary())})
+        bounds = batch["bound"].to_numpy().astype(np.float64)[order]
+        return pa.table({"dim": batch["dim"].slice(0, 1), "cell": batch["cell"].slice(0, 1), name: batch["b"].slice(0, 1), "ids": pa.array([ids[order].tobytes()], pa.binary()), "data": pa.array([data.tobytes()], pa.binary()), "bounds": pa.array([bounds.tobytes()], pa.binary())})
 
-    return dealt.groupBy("dim", "b").applyInArrow(pack, f"dim int, {name} int, ids binary, data binary")
+    return dealt.select("vec_id", "v", "dim", "cell", "b", "bound").groupBy("cell", "b").applyInArrow(pack, f"dim int, cell long, {name} int, ids binary, data binary, bounds binary")
 
 
 def unpack(ids: bytes, data: bytes, dim: int) -> tuple[np.ndarray, np.ndarray]:
@@ -49,43 +106,114 @@ def unpack(ids: bytes, data: bytes, dim: int) -> tuple[np.ndarray, np.ndarray]:
     return found, np.frombuffer(data, np.float64).reshape(len(found), dim)
 
 
-def search(queries: DataFrame, candidates: DataFrame, index: Callable, find: Callable, k: int, score: str, descending: bool) -> DataFrame:
-    """The ``k`` best candidates of each query: ``(query_id, rank, vec_id, score)``, ties to the smaller vec_id.
-
-    ``index(ids, data)`` makes a block's index, as bytes. ``find(ids, data, index, query_ids, queries, k)`` gives the
-    (query_id, vec_id, score) of a block's k best for each query; it leaves out the query's own rows. Every query
-    group meets every block of its dimension: the stated query set against all rows, in blocks. Queries are one row
-    for each id (of repeated rows the smallest vector); candidates are all rows.
-    """
-    blocks = packed(candidates, BLOCK, "block")
+def _indexed(blocks: DataFrame, kind: Kind) -> DataFrame:
+    """Blocks with their index and their ball: centre, radius and the largest squared norm."""
 
     def build():
         def each(batch: pa.RecordBatch):
-            cols = batch.to_pydict()
-            made = [index(*unpack(i, d, n)) for n, i, d in zip(cols["dim"], cols["ids"], cols["data"], strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.binary())], names=[*batch.schema.names, "index"])
+            rows = []
+            for row in batch.to_pylist():
+                _, data = unpack(row["ids"], row["data"], row["dim"])
+                x = kind.space(data)
+                centre = x.mean(0)
+                rows.append(row | {"index": kind.index(data), "centre": centre.tobytes(), "radius": float(np.sqrt(((x - centre) ** 2).sum(1)).max()), "most": float((x**2).sum(1).max())})
+            if rows:
+                names = ["dim", "cell", "block", "ids", "data", "index", "centre", "radius", "most"]
+                kinds = [pa.int32(), pa.int64(), pa.int32(), *[pa.binary()] * 4, pa.float64(), pa.float64()]
+                yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], t) for n, t in zip(names, kinds, strict=True)], names=names)
 
         return each
 
-    indexed = stored(arrow_map(blocks, "dim int, block int, ids binary, data binary, index binary", build))
-    one = queries.groupBy("vec_id", "dim").agg(F.min("v").alias("v"))
-    groups = packed(one, GROUP, "part").select("dim", "part", F.col("ids").alias("query_ids"), F.col("data").alias("query_data"))
-    # a row for each group and block: at most rows(queries) * rows / (GROUP * BLOCK)
-    numbers = indexed.groupBy("dim").agg(F.collect_list("block").alias("all"))
-    pairs = groups.join(numbers, "dim").withColumn("block", F.explode("all")).drop("all")
-    met = pairs.join(indexed, ["dim", "block"])
+    return stored(arrow_map(blocks, "dim int, cell long, block int, ids binary, data binary, index binary, centre binary, radius double, most double", build))
+
+
+def _met(pairs: DataFrame, kind: Kind, k: int) -> DataFrame:
+    """``(query_id, vec_id, score)`` of the meetings ``(dim, ids, data, index, query_ids, query_data, bounds)``."""
 
     def run():
         def each(batch: pa.RecordBatch):
             for row in batch.to_pylist():
                 ids, data = unpack(row["ids"], row["data"], row["dim"])
                 query_ids, query_data = unpack(row["query_ids"], row["query_data"], row["dim"])
-                q, v, s = find(ids, data, row["index"], query_ids, query_data, k)
-                yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(v, pa.int64()), pa.array(s, pa.int64() if score == "long" else pa.float64())], names=["query_id", "vec_id", "score"])
+                q, v, s = kind.find(ids, data, row["index"], query_ids, query_data, np.frombuffer(row["bounds"], np.float64), k)
+                yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(v, pa.int64()), pa.array(s, pa.int64() if kind.score == "long" else pa.float64())], names=["query_id", "vec_id", "score"])
 
         return each
 
-    best = arrow_map(met, f"query_id long, vec_id long, score {score}", run)
-    order = F.desc("score") if descending else F.asc("score")
+    return arrow_map(pairs.select("dim", "ids", "data", "index", "query_ids", "query_data", "bounds"), f"query_id long, vec_id long, score {kind.score}", run)
+
+
+def _best(found: DataFrame, kind: Kind, k: int) -> DataFrame:
+    order = F.desc("score") if kind.descending else F.asc("score")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(order, "vec_id"))
-    return best.withColumn("rank", rank.cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return found.withColumn("rank", rank.cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def _opened(groups: DataFrame, balls: DataFrame, kind: Kind) -> DataFrame:
+    """``(dim, cell, block, query_ids, query_data, bounds)``: for each group and block of another cell the queries whose bound leaves it open.
+
+    The balls go to the groups, MOST_SENT at a time.
+    """
+    spark = groups.sparkSession
+    parts = max(1, -(-balls.count() // MOST_SENT))
+    out = None
+    for i in range(parts):
+        own = balls.where(F.pmod(F.xxhash64("cell", "block"), F.lit(parts)) == i).orderBy("cell", "block").collect()
+        held = spark.sparkContext.broadcast([(r["dim"], r["cell"], r["block"], bytes(r["centre"]), r["radius"], r["most"]) for r in own])
+
+        def make(held=held):
+            def each(batch: pa.RecordBatch):
+                by_dim: dict[int, list] = {}
+                for b in held.value:
+                    by_dim.setdefault(b[0], []).append(b)
+                for row in batch.to_pylist():
+                    near = [b for b in by_dim.get(row["dim"], ()) if b[1] != row["cell"]]
+                    ids, data = unpack(row["ids"], row["data"], row["dim"])
+                    bounds = np.frombuffer(row["bounds"], np.float64)
+                    x = kind.space(data)
+                    norms = (x**2).sum(1)
+                    for a in range(0, len(near), 256):
+                        some = near[a : a + 256]
+                        centre = np.array([np.frombuffer(b[3], np.float64) for b in some])
+                        radius, most = np.array([b[4] for b in some]), np.array([b[5] for b in some])
+                        product = x @ centre.T
+                        distance = np.sqrt(np.maximum(0.0, norms[:, None] + (centre**2).sum(1)[None, :] - 2 * product))
+                        left = kind.open(distance, product, norms[:, None], radius[None, :], most[None, :], bounds[:, None]) | np.isnan(bounds)[:, None]
+                        for j, b in enumerate(some):
+                            at = np.flatnonzero(left[:, j])
+                            if len(at):
+                                yield pa.RecordBatch.from_arrays([pa.array([b[0]], pa.int32()), pa.array([b[1]], pa.int64()), pa.array([b[2]], pa.int32()), *(pa.array([y[at].tobytes()], pa.binary()) for y in (ids, data, bounds))], names=["dim", "cell", "block", "query_ids", "query_data", "bounds"])
+
+            return each
+
+        found = arrow_map(groups, "dim int, cell long, block int, query_ids binary, query_data binary, bounds binary", make)
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def search(queries: DataFrame, candidates: DataFrame, kind: Kind, k: int) -> DataFrame:
+    """The ``k`` best candidates of each query: ``(query_id, rank, vec_id, score)``, ties to the smaller vec_id.
+
+    Every query group meets the blocks of its own cell first; the k-th score found there is each query's bound, and in a
+    second pass a block of another cell meets only the queries for which its ball may hold a better one. Queries and
+    candidates are all their rows; of repeated queries of one id each row asks, and their finds are ranked together.
+    """
+    pivots = pivots_of(candidates)
+    rows, asked = assigned(candidates, pivots), assigned(queries, pivots)
+    many, asks = rows.count(), asked.count()
+    none = F.lit(None).cast("double")
+    indexed = _indexed(packed(rows.withColumn("bound", none), BLOCK, "block", many), kind)
+    named = lambda groups: groups.select("dim", "cell", F.col("ids").alias("query_ids"), F.col("data").alias("query_data"), "bounds")
+    blocks = indexed.select("cell", "block", "ids", "data", "index")
+    first = packed(asked.withColumn("bound", none), GROUP, "part", asks)
+    numbers = indexed.select("cell", "block")
+    numbers = F.broadcast(numbers) if numbers.count() <= MOST_NUMBERS else numbers
+    own = stored(_best(_met(named(first).join(numbers, "cell").join(blocks, ["cell", "block"]), kind, k), kind, k))
+    worst = F.min("score") if kind.descending else F.max("score")
+    bound = own.groupBy(F.col("query_id").alias("vec_id")).agg(F.when(F.count("*") == k, worst).cast("double").alias("bound"))
+    again = packed(asked.join(bound, "vec_id", "left"), GROUP, "part", asks)
+    more = _met(_opened(again.select("dim", "cell", "ids", "data", "bounds"), indexed.select("dim", "cell", "block", "centre", "radius", "most"), kind).join(blocks, ["cell", "block"]), kind, k)
+    # a candidate of two cells' meetings, or of two rows of one query, counts once for each of its rows
+    out = _best(own.drop("rank").unionByName(more), kind, k)
+    released(rows)
+    return out

@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from nodeloom.llm import mtree, rabitq, vector_blocks
 
@@ -35,6 +36,54 @@ def test_top_products(spark, monkeypatch):
     assert mtree.top_products(df.where("false")).count() == 0
 
 
+def test_repeated_queries_and_clashing_columns(spark, monkeypatch):
+    monkeypatch.setattr(vector_blocks, "BLOCK", 8)
+    monkeypatch.setattr(vector_blocks, "GROUP", 2)
+    rng = np.random.default_rng(3)
+    rows = [(i % 40, [float(x) for x in rng.integers(-2, 3, 4) / 4]) for i in range(90)] + [(100, [])] * 2 + [(0, None), (None, [1.0] * 4)] + [(100, [0.5, 0.5, 0.0, 0.25])] * 2
+    names = ("score", "rank", "query_id", "cell", "dim", "v", "block", "bound")
+    df = spark.createDataFrame([(*r, *range(8)) for r in rows], "vec_id long, embedding array<double>, " + ", ".join(f"{n} int" for n in names))
+    vectors = [(i, np.array(v)) for i, v in rows if v and i is not None]
+    for got, value, zero in ((mtree.top_products(df), lambda a, b: -int(np.floor(1024 * a) @ np.floor(1024 * b)), True), (rabitq.nearest(df), lambda a, b: float(np.sqrt(((a - b) ** 2).sum())), False)):
+        found: dict = {}
+        for r in got.collect():
+            found.setdefault(r.query_id, []).append((r["rank"], r.score, r.vec_id))
+        use = [(i, v) for i, v in vectors if zero or v.any()]
+        for q in {i for i, _ in use if i % 100 == 0}:
+            best = sorted((value(a, b), i) for j, a in use if j == q for i, b in use if i != q)[:10]
+            assert [(abs(s), i) for _, s, i in sorted(found[q])] == [(pytest.approx(abs(s)), i) for s, i in best]  # few blocks, so that the codes miss none
+        assert set(found) == {i for i, _ in use if i % 100 == 0}
+
+
+def test_far_blocks_are_left_out(spark, monkeypatch):
+    monkeypatch.setattr(vector_blocks, "BLOCK", 50)
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(8, 12))
+    centres /= np.sqrt((centres**2).sum(1))[:, None]
+    rows = [(i, (centres[i % 8] + rng.normal(size=12) * 0.01).tolist()) for i in range(1600)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    x = np.array([v for _, v in rows])
+    for kind in ("products", "distances"):
+        got: dict = {}
+        for r in (mtree.top_products(df) if kind == "products" else rabitq.nearest(df)).collect():
+            got.setdefault(r.query_id, []).append((r["rank"], r.vec_id))
+        whole = np.floor(1024 * x)
+        for q in range(0, 1600, 100):
+            s = -(whole @ whole[q]) if kind == "products" else np.sqrt(((x - x[q]) ** 2).sum(1))
+            want = [i for i in np.lexsort((np.arange(1600), s)).tolist() if i != q][:10]
+            own = [i for _, i in sorted(got[q])]
+            assert own == want if kind == "products" else len(set(own) & set(want)) >= 9
+    rows_ = vector_blocks.usable(df)
+    pivots = vector_blocks.pivots_of(rows_)
+    cells = vector_blocks.assigned(rows_, pivots)
+    none = F.lit(None).cast("double")
+    indexed = vector_blocks._indexed(vector_blocks.packed(cells.withColumn("bound", none), 50, "block", 1600), mtree.PRODUCTS)
+    groups = vector_blocks.packed(cells.where("vec_id % 100 = 0").withColumn("bound", F.lit(1.04e6)), 512, "part", 16)
+    opened = vector_blocks._opened(groups.select("dim", "cell", "ids", "data", "bounds"), indexed.select("dim", "cell", "block", "centre", "radius", "most"), mtree.PRODUCTS)
+    visits = sum(len(r.query_ids) // 8 for r in opened.collect())
+    assert visits < 0.4 * 16 * indexed.count()
+
+
 @pytest.mark.parametrize("n", [1, 40, 3000])
 def test_tree_is_exact_and_avoids_distances(n):
     rng = np.random.default_rng(n)
