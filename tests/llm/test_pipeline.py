@@ -30,3 +30,22 @@ def test_stages(spark, tmp_path):
     assert words(kept["mixing"]) == pytest.approx(1.5 * words(kept["personal_data"]), rel=0.05)
     assert all(r.round_trip for r in kept["tokens"]) and len(kept["tokens"]) == len(kept["mixing"])
     assert pipeline.run(spark, str(tmp_path)).count() == len(kept["tokens"])
+
+
+def test_empty_tables_and_odd_rows(spark, tmp_path):
+    schema = "doc_id long, text string, lang string, source string, n_chars long, extra string"
+    odd = [(None, "some words without an id", "en", None, 24, "x"), (None, "other words without an id", None, "s", 25, "x"), (5, "twice the same id", "en", "s", 17, "x"), (5, "twice the same id", "en", "s", 17, "x"), (6, None, "en", "s", None, "x"), (7, "", None, None, 0, "x"), (8, "word " * 60_000, "en", "s", 300_000, "x")]
+    for name, rows in (("none", []), ("odd", odd)):
+        folder = f"{tmp_path}/{name}"
+        spark.createDataFrame(rows, schema).write.parquet(f"{folder}/documents.parquet")
+        spark.createDataFrame([(5, 0)] if rows else [], "doc_id long, toxic int").write.parquet(f"{folder}/labels.parquet")
+        docs = spark.read.parquet(f"{folder}/documents.parquet")
+        sizes = []
+        for stage_name, stage in pipeline.STAGES:
+            out = stage(spark, docs, folder)
+            assert stage_name == "tokens" or out.columns == list(pipeline.COLUMNS)
+            out.write.parquet(f"{folder}/{stage_name}")
+            docs = spark.read.parquet(f"{folder}/{stage_name}")
+            sizes.append(docs.count())
+        assert sizes[:3] == ([7, 6, 6] if rows else [0, 0, 0]) and (rows or sizes[3:] == [0, 0])
+        assert not docs.where("NOT round_trip").count() and {r.doc_id for r in docs.collect()} <= {None, 5, 8}
