@@ -1,7 +1,9 @@
 """A corpus pipeline of five stages, each an operator of ``nodeloom.llm`` over all that the stage before it kept.
 
-Every stage takes (spark, docs, sf_dir); all but the last return the columns of ``documents``. Rows with null or
-repeated ids pass through each stage as its operator defines.
+Every stage takes (spark, docs, sf_dir); all but the last return the columns of ``documents`` and no others: further
+columns of ``docs`` are cut. Rows with null or repeated ids pass through each stage as its operator defines: they are
+scored each, are near copies of each other, are masked each, and share one decision of the mix if their texts are equal
+too. Null and empty texts are clean, alone, and leave at the mix, which takes words. Empty tables give empty ones.
 """
 
 from __future__ import annotations
