@@ -168,6 +168,20 @@ def eigenvector(graph: Csr, rounds: int | None, tolerance: float, most_rounds: i
     return x
 
 
+def components(graph: Csr) -> np.ndarray:
+    """The place of the smallest node that each node reaches: labels of the neighbourhood, then the label of the label."""
+    label = np.arange(len(graph.ids))
+    some = np.flatnonzero(np.diff(graph.start))
+    while True:
+        low = label.copy()
+        if len(some):
+            low[some] = np.minimum(low[some], np.minimum.reduceat(label[graph.to], graph.start[some]))
+        low = np.minimum(low, low[low])
+        if np.array_equal(low, label):
+            return label
+        label = low
+
+
 def hash_order(ids: np.ndarray, seed: int) -> np.ndarray:
     """Places in the order of ``dice(seed, person_id)``."""
     keys = [hashlib.md5(f"{seed}:{i}".encode()).hexdigest() for i in ids.tolist()]

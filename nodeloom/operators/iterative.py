@@ -17,7 +17,12 @@ def connected_components(vertices: DataFrame, edges: DataFrame, most_rounds: int
     """``(person_id, component)``: the smallest id that a node reaches.
 
     Nodes take their neighbourhood's smallest label, then the label of that label, so a label's way doubles each round.
+    A graph of numbered nodes within csr's bounds is solved as arrays.
     """
+    graph = csr.compact(vertices, edges) if dict(vertices.dtypes)["person_id"] in ("bigint", "int") else None
+    if graph is not None:
+        label = graph.ids[csr.components(graph)]
+        return vertices.sparkSession.createDataFrame(pa.table({"person_id": pa.array(graph.ids, pa.int64()), "component": pa.array(label, pa.int64())}))
     adj = adjacency(edges)
     kept = now = stored(vertices.select("person_id", F.col("person_id").alias("component")))
     for _ in range(most_rounds):

@@ -113,7 +113,7 @@ def efficiency(n, pairs, alive, k, seed):
 def test_arrays_and_rows_agree(spark, monkeypatch):
     n, pairs = some_graph()
     v, e = made(spark, n, pairs)
-    ways = [lambda: iterative.betweenness(v, e), lambda: iterative.betweenness(v, e, 20, 1), lambda: iterative.closeness(v, e), lambda: iterative.eigenvector(v, e), lambda: iterative.global_efficiency(v, e, 10, 1)]
+    ways = [lambda: iterative.betweenness(v, e), lambda: iterative.betweenness(v, e, 20, 1), lambda: iterative.closeness(v, e), lambda: iterative.eigenvector(v, e, 6), lambda: iterative.global_efficiency(v, e, 10, 1), lambda: iterative.connected_components(v, e), lambda: iterative.bridge_features(v, e)]
     arrays = [sorted(map(tuple, w().collect())) for w in ways]
     monkeypatch.setattr(csr, "MOST_NODES", 0)
     for got, w in zip(arrays, ways, strict=True):
