@@ -157,3 +157,34 @@ def test_published_degree_curve(spark):
     assert iterative.bridges(net.vertices, net.relations).count() == 93
     cores = {r.core_number: r.n for r in iterative.core_numbers(net.vertices, net.relations).groupBy("core_number").agg(F.count("*").alias("n")).collect()}
     assert cores == {0: 37, 1: 94, 2: 76, 3: 44, 4: 39, 5: 15, 6: 8, 7: 5, 8: 2, 9: 9, 10: 71}
+
+
+def test_array_kernels_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(csr, "SLOTS", 3)
+    monkeypatch.setattr(csr, "CHUNK", 32)
+    n, pairs = some_graph(90, 160, 5)
+    v, e = made(spark, n, pairs)
+    g = csr.compact(v, e)
+    far = [distances(n, pairs, i, set(range(n))) for i in range(n)]
+    rows = {r.person_id: r for r in csr.distance_sums(spark, g).collect()}
+    assert len(rows) == n
+    for i, d in enumerate(far):
+        assert (rows[i].reached, rows[i].total) == (len(d), sum(d.values())) and rows[i].inverse == pytest.approx(sum(1 / x for x in d.values()))
+    # cores by taking nodes away one by one; bridges by taking edges away one by one
+    near, core, k = {i: {b for a, b in [*pairs, *[(y, x) for x, y in pairs]] if a == i} for i in range(n)}, {}, 0
+    while near:
+        least = min(near, key=lambda i: len(near[i]))
+        k = max(k, len(near[least]))
+        core[least] = k
+        for y in near.pop(least):
+            near[y].discard(least)
+    assert csr.cores(g).tolist() == [core[i] for i in range(n)]
+    cut = {(a, b) for a, b in pairs if b not in distances(n, [p for p in pairs if p != (a, b)], a, set(range(n)))}
+    assert {tuple(sorted(p)) for p in zip(*(x.tolist() for x in csr.bridge_ends(g)), strict=True)} == cut
+
+
+def test_cores_settle_beyond_the_rounds_of_the_sql(spark):
+    # a path's values fall by one node a round from its ends, so forty rounds leave its middle at 2
+    v, e = made(spark, 101, [(i, i + 1) for i in range(100)])
+    assert set(column(iterative.core_numbers(v, e), "core_number").values()) == {1}
+    assert csr.MOST_EDGES >= 8_000_000
