@@ -8,7 +8,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from nodeloom.operators import csr, disruption, graph, iterative
+from nodeloom.operators import csr, disruption, graph, iterative, links
 from nodeloom.sources import tables
 
 #: A folder with persons.csv and relations.csv of the 400-node network whose published figures are known.
@@ -188,3 +188,14 @@ def test_cores_settle_beyond_the_rounds_of_the_sql(spark):
     v, e = made(spark, 101, [(i, i + 1) for i in range(100)])
     assert set(column(iterative.core_numbers(v, e), "core_number").values()) == {1}
     assert csr.MOST_EDGES >= 8_000_000
+
+
+def test_enclosing_sizes_and_wedges_agree_with_rows(spark, monkeypatch):
+    monkeypatch.setattr(csr, "CHUNK", 40)
+    n, pairs = some_graph(40, 70, 8)
+    v, e = made(spark, n, pairs)
+    asked = spark.createDataFrame([*pairs[:30], (0, 39), (38, 39)], "from_id bigint, to_id bigint")
+    want = {tuple(r) for r in links.enclosing_subgraphs(e, asked, 2).select("from_id", "to_id", "n_nodes", "n_edges").collect()}
+    assert {tuple(r) for r in links.enclosing_sizes(v, e, asked, 2).collect()} == want
+    full = links.link_scores(v, e, links.candidates(e)).select("from_id", "to_id", "common_neighbours")
+    assert {tuple(r) for r in links.wedge_counts(e).collect()} == {tuple(r) for r in full.collect()}
