@@ -199,3 +199,20 @@ def test_enclosing_sizes_and_wedges_agree_with_rows(spark, monkeypatch):
     assert {tuple(r) for r in links.enclosing_sizes(v, e, asked, 2).collect()} == want
     full = links.link_scores(v, e, links.candidates(e)).select("from_id", "to_id", "common_neighbours")
     assert {tuple(r) for r in links.wedge_counts(e).collect()} == {tuple(r) for r in full.collect()}
+
+
+def test_graph_is_built_and_sent_once(spark):
+    """The features of one network share its arrays, which are not read from Spark again, and another table is another graph."""
+    from nodeloom.operators.store import stored
+
+    v = spark.range(6).withColumnRenamed("id", "person_id")
+    e = stored(spark.createDataFrame([(0, 1), (1, 2), (0, 2), (2, 3)], "from_id long, to_id long"))
+    g = csr.compact(v, e)
+    assert csr.compact(v, e) is g and csr._sent(spark, g) is csr._sent(spark, g)
+    assert {r.person_id: r.core_number for r in iterative.core_numbers(v, e).collect()} == {0: 2, 1: 2, 2: 2, 3: 1, 4: 0, 5: 0}
+    assert [tuple(r) for r in iterative.bridges(v, e).collect()] == [(2, 3)]
+    other = csr.compact(v, stored(e.where("to_id < 3")))
+    assert other is not g and len(other.to) == 6
+    assert csr.compact(v, e.where("to_id < 3")) is not other
+    far = csr.compact(spark.createDataFrame([(5,), (1 << 40,)], "person_id long"), spark.createDataFrame([(5, 1 << 40)], "from_id long, to_id long"))
+    assert far.ids.tolist() == [5, 1 << 40] and far.to.tolist() == [1, 0]
