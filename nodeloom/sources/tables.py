@@ -102,14 +102,16 @@ def preview(df: DataFrame, rows: int = 5) -> DataFrame:
 
 
 def save_model(model, path: str) -> None:
-    """A Spark ML pipeline model, in its own format."""
+    """A Spark ML pipeline model or a forest, in its own format."""
     model.write().overwrite().save(path)
 
 
 def load_model(path: str):
     from pyspark.ml import PipelineModel
 
-    return PipelineModel.load(path)
+    from nodeloom.operators import forest
+
+    return forest.loaded(SparkSession.active(), path) or PipelineModel.load(path)
 
 
 def save_weights(spark: SparkSession, parameters: list, path: str) -> None:

@@ -230,3 +230,44 @@ def test_streams(spark, tmp_path):
     query.stop()
     key = lambda rows: sorted((str(r.window_start), r.event_type, r.n, r.total) for r in rows)
     assert key(spark.table("counts").collect()) == key(events.tumbling(df).collect())
+
+
+def test_tree_takes_the_best_split():
+    """A node's split is the one of the highest weighted Gini gain of all that leave enough rows on both sides."""
+    from nodeloom.operators import forest
+
+    for seed in range(20):
+        rng = np.random.default_rng(seed)
+        x, y, weights, leaf = rng.integers(0, 40, (60, 1)).astype(float), rng.integers(0, 3, 60), np.array([0.5, 1.0, 3.0]), 4
+        bins = forest.binned(x, forest.cuts_of(x))
+        tree, gains = forest.grow(bins, y, weights, 1, leaf, np.random.default_rng(seed))
+        times = np.random.default_rng(seed).poisson(1.0, 60)
+        gini = lambda on: ((np.bincount(y[on], times[on], 3) * weights) ** 2).sum() / (np.bincount(y[on], times[on], 3) @ weights)
+        found = {}
+        for b in range(bins.max()):
+            left = bins[:, 0] <= b
+            if min(times[left].sum(), times[~left].sum()) >= leaf:
+                found[b] = gini(left) + gini(~left) - gini(left | True)
+        assert tree.feature.tolist() == [0, -1, -1] and np.isclose(gains[0], max(found.values())) and np.isclose(found[int(tree.split[0])], gains[0])
+        left = bins[:, 0] <= tree.split[0]
+        assert tree.counts.tolist() == [np.bincount(y[s], times[s], 3).tolist() for s in (left, ~left)]
+        again = forest.Tree.unpacked(tree.packed()).shares(bins, weights)
+        assert np.array_equal(again, tree.shares(bins, weights)) and np.allclose(again.sum(axis=1), 1)
+        assert np.allclose(again[left], np.bincount(y[left], times[left], 3) * weights / (np.bincount(y[left], times[left], 3) @ weights))
+
+
+def test_forests_are_grown_by_tasks(spark):
+    """The 3,000 trees of the second supervised variant are one job, a fold's rows are asked of a forest that has not seen them, and the model says what the roles say."""
+    from nodeloom.operators import forest
+
+    rng = np.random.default_rng(3)
+    rows = [(i, ("Broker", "Enabler", "Peripheral")[int(rng.integers(3))], float(rng.normal()), float(i)) for i in range(90)]
+    f = spark.createDataFrame(rows, "person_id long, role string, a double, b double")
+    model, roles, (mean, _) = models.supervised_roles(f, f, ["a", "b"], trees=40, depth=12, folds=3)
+    assert isinstance(model, forest.Forest) and model.trees.count() == 40
+    said = {r.person_id: r.predicted_role for r in roles.collect()}
+    assert sum(said[i] == role for i, role, _, _ in rows) > 75 and mean < 0.6  # roles are noise: known rows are told, unseen ones are not
+    assert {r.person_id: r.predicted_role for r in model.transform(f).collect()} == said
+    again, same, _ = models.supervised_roles(f, f, ["a", "b"], trees=40, depth=12, folds=3)
+    assert sorted(same.collect()) == sorted(roles.collect())
+    assert models.forest_roles(f, f.select("person_id", "role"), ["a", "b"], trees=20).count() == 90
