@@ -271,3 +271,20 @@ def test_forests_are_grown_by_tasks(spark):
     again, same, _ = models.supervised_roles(f, f, ["a", "b"], trees=40, depth=12, folds=3)
     assert sorted(same.collect()) == sorted(roles.collect())
     assert models.forest_roles(f, f.select("person_id", "role"), ["a", "b"], trees=20).count() == 90
+
+
+def test_starts_of_k_means_run_at_once(spark, monkeypatch):
+    import threading
+
+    from pyspark.ml.clustering import KMeans
+
+    both, fit = threading.Barrier(2), KMeans.fit
+
+    def met(self, *args):
+        both.wait(30)
+        return fit(self, *args)
+
+    monkeypatch.setattr(KMeans, "fit", met)
+    rows = spark.createDataFrame([(i, float(i % 2 * 9 + i / 100)) for i in range(20)], "person_id long, a double")
+    found = {r.person_id: r.cluster for r in models.kmeans_clusters(rows, ["a"], 2, 2).collect()}
+    assert len(found) == 20 and len({(i % 2, c) for i, c in found.items()}) == 2
