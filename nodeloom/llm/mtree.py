@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nodeloom.llm.vector_blocks import Kind, search, usable
+from nodeloom.llm.vector_blocks import Kind, first_of_each, search, usable
 
 PAGE, FANOUT = 128, 64
 SLACK = 1e-6
@@ -95,41 +95,60 @@ class Tree:
 
     def top(self, query: np.ndarray, k: int, ids: np.ndarray, own: int, least: float = -np.inf) -> list[tuple[int, int]]:
         """(-score, id) of the k best rows whose id is not ``own`` and whose score is ``least`` or more, best first."""
-        norm = float((query**2).sum())
-        best: list[tuple[int, int]] = []  # a heap with the worst in front, as (score, -id)
-        first = float(np.sqrt(((query - self.vectors[self.route[0]]) ** 2).sum()))
-        heap = [(-np.inf, 0, first)]
+        _, found, scores = self.tops(query[None, :], k, ids, np.array([own]), np.array([least]))
+        return list(zip((-scores).tolist(), found.tolist(), strict=True))
+
+    def tops(self, queries: np.ndarray, k: int, ids: np.ndarray, own: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place of the query, id, score) of what ``top`` gives for each query.
+
+        Queries go through the tree together: a page is taken when its highest bound for any of them comes first, and by
+        those whose own bound for it is not below their own k-th score so far.
+        """
+        m = len(queries)
+        norm = (queries**2).sum(1)
+        worst, best = least.astype(np.float64), np.full((m, k), -np.inf)
+        every = np.arange(m)
+        squares = (self.vectors[self.route] ** 2).sum(1)
+        first = np.sqrt(((queries - self.vectors[self.route[0]]) ** 2).sum(1))
+        hits: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = [(every[:0], ids[:0], norm[:0])]
+        heap = [(-np.inf, 0, every, np.full(m, np.inf), first)]
         while heap:
-            bound, node, above = heapq.heappop(heap)
-            worst = max(least, best[0][0]) if len(best) == k else least
-            if -bound < worst:
-                break
+            _, node, at, bound, above = heapq.heappop(heap)
+            left = bound >= worst[at]
+            at, above = at[left], above[left]
             span = slice(self.start[node], self.start[node + 1])
             entry, radius, most = self.entry[span], self.radius[span], self.most[span]
             # what the stored distances alone allow
-            low = np.maximum(0.0, np.abs(above - self.away[span]) - radius) * (1 - SLACK)
-            open_ = np.flatnonzero((norm + most - low**2) / 2 + SLACK * norm + 1 >= worst)
-            if not len(open_):
+            low = np.maximum(0.0, np.abs(above[:, None] - self.away[span]) - radius) * (1 - SLACK)
+            open_ = (norm[at, None] + most - low**2) / 2 + (SLACK * norm[at, None] + 1) >= worst[at, None]
+            columns = np.flatnonzero(open_.any(axis=0))
+            if not len(columns):
                 continue
-            self.computed += len(open_)
+            entry, radius, most, open_ = entry[columns], radius[columns], most[columns], open_[:, columns]
+            self.computed += open_.size
+            some = queries if len(at) == m else queries[at]
             if self.leaf[node]:
-                scores = self.vectors[entry[open_]] @ query
-                good = np.flatnonzero(scores >= worst)
-                for s, i in zip(scores[good].tolist(), ids[entry[open_[good]]].tolist(), strict=True):
-                    if i == own:
-                        continue
-                    if len(best) < k:
-                        heapq.heappush(best, (int(s), -i))
-                    elif (int(s), -i) > best[0]:
-                        heapq.heapreplace(best, (int(s), -i))
+                scores = some @ self.vectors[entry].T
+                scores[~open_ | (ids[entry] == own[at, None])] = -np.inf
+                rows = np.flatnonzero((scores >= worst[at, None]).any(axis=1))
+                scores, at = scores[rows], at[rows]
+                both = np.concatenate([best[at], scores], axis=1)
+                best[at] = np.partition(both, both.shape[1] - k, axis=1)[:, -k:]
+                worst[at] = np.maximum(worst[at], best[at].min(axis=1))
+                i, j = np.nonzero((scores >= worst[at, None]) & (scores > -np.inf))
+                hits.append((at[i], ids[entry[j]], scores[i, j]))
                 continue
-            distance = np.sqrt(((self.vectors[self.route[entry[open_]]] - query) ** 2).sum(1))
-            low = np.maximum(0.0, distance - radius[open_]) * (1 - SLACK)
-            bounds = (norm + most[open_] - low**2) / 2 + SLACK * norm + 1
-            for b, e, d in zip(bounds.tolist(), entry[open_].tolist(), distance.tolist(), strict=True):
-                if b >= worst:
-                    heapq.heappush(heap, (-b, e, d))
-        return sorted((-s, -i) for s, i in best)
+            distance = np.sqrt(np.maximum(0.0, norm[at, None] + squares[entry] - 2 * (some @ self.vectors[self.route[entry]].T)))
+            low = np.maximum(0.0, distance - radius) * (1 - SLACK)
+            bounds = (norm[at, None] + most - low**2) / 2 + (SLACK * norm[at, None] + 1)
+            open_ &= bounds >= worst[at, None]
+            for j, e in enumerate(entry.tolist()):
+                i = np.flatnonzero(open_[:, j])
+                if len(i):
+                    heapq.heappush(heap, (-float(bounds[i, j].max()), e, at[i], bounds[i, j], distance[i, j]))
+        q, found, scores = (np.concatenate(x) for x in zip(*hits, strict=True))
+        good = scores >= worst[q]
+        return first_of_each(q[good], found[good], scores[good], -scores[good], k)
 
 
 def _open(distance, product, norms, radius, most, bounds):
@@ -147,10 +166,8 @@ def _index(data: np.ndarray) -> bytes:
 def _find(ids, data, index, query_ids, queries, bounds, k):
     with np.load(io.BytesIO(index)) as parts:
         tree = Tree(integers(data), dict(parts))
-    out: list[tuple[int, int, int]] = []
-    for q, v, least in zip(query_ids.tolist(), integers(queries), np.where(np.isnan(bounds), -np.inf, bounds), strict=True):
-        out += [(q, i, -s) for s, i in tree.top(v, k, ids, q, least)]
-    return list(zip(*out, strict=True)) or [[], [], []]
+    q, found, scores = tree.tops(integers(queries), k, ids, query_ids, np.where(np.isnan(bounds), -np.inf, bounds))
+    return query_ids[q], found, scores.astype(np.int64)
 
 
 PRODUCTS = Kind(_index, integers, _find, _open, "long", True)

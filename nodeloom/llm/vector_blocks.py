@@ -14,6 +14,8 @@ from nodeloom.llm.common import arrow_map, joined_to_keys, released, stored
 
 #: Vectors in a block and queries in a group, on average.
 BLOCK, GROUP = 4096, 512
+#: Queries that meet a block at a time, on average.
+ASKED = 2048
 #: Pivots of a dimension at most, and blocks whose balls are sent to the tasks at a time.
 MOST_PIVOTS, MOST_SENT = 256, 20_000
 #: Blocks whose numbers, 12 bytes each, are sent to the tasks.
@@ -106,6 +108,14 @@ def unpack(ids: bytes, data: bytes, dim: int) -> tuple[np.ndarray, np.ndarray]:
     return found, np.frombuffer(data, np.float64).reshape(len(found), dim)
 
 
+def first_of_each(q: np.ndarray, ids: np.ndarray, scores: np.ndarray, order: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(q, ids, scores) of the ``k`` rows of each q that come first by ``order``, ties to the smaller id."""
+    by = np.lexsort((ids, order, q))
+    q = q[by]
+    kept = np.arange(len(q)) - np.searchsorted(q, q) < k
+    return q[kept], ids[by][kept], scores[by][kept]
+
+
 def _indexed(blocks: DataFrame, kind: Kind) -> DataFrame:
     """Blocks with their index and their ball: centre, radius and the largest squared norm."""
 
@@ -127,20 +137,57 @@ def _indexed(blocks: DataFrame, kind: Kind) -> DataFrame:
     return stored(arrow_map(blocks, "dim int, cell long, block int, ids binary, data binary, index binary, centre binary, radius double, most double", build))
 
 
+class Bounds:
+    """The k-th score so far of every query that a task has met, over all of its blocks."""
+
+    def __init__(self, kind: Kind, k: int):
+        self.sign, self.k, self.best = 1.0 if kind.descending else -1.0, k, {}
+
+    def of(self, query_ids: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        """``bounds`` or the k-th score that is known here, if that is nearer; NaN: none."""
+        none = np.array([-np.inf])
+        known = np.array([self.best.get(q, none)[0] for q in query_ids.tolist()])
+        out = np.fmax(self.sign * bounds, known)
+        return self.sign * np.where(np.isneginf(out), np.nan, out)
+
+    def add(self, q: np.ndarray, scores: np.ndarray) -> None:
+        q, scores = np.asarray(q, np.int64), np.asarray(scores, np.float64)
+        order = np.argsort(q, kind="stable")
+        q, scores = q[order], self.sign * scores[order]
+        cuts = np.flatnonzero(np.append(True, q[1:] != q[:-1])) if len(q) else np.zeros(0, np.int64)
+        for i, own in zip(q[cuts].tolist(), np.split(scores, cuts[1:]), strict=False):
+            known = self.best.get(i)
+            if known is None:
+                known = np.full(self.k, -np.inf)
+            self.best[i] = np.sort(np.concatenate([known, own]))[-self.k :]  # worst first
+
+
 def _met(pairs: DataFrame, kind: Kind, k: int) -> DataFrame:
-    """``(query_id, vec_id, score)`` of the meetings ``(dim, ids, data, index, query_ids, query_data, bounds)``."""
+    """``(query_id, vec_id, score)`` of the meetings ``(dim, ids, data, index, asked)``, asked being groups (query_ids, query_data, bounds)."""
 
     def run():
+        so_far = Bounds(kind, k)
+
         def each(batch: pa.RecordBatch):
-            for row in batch.to_pylist():
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]  # blocks are Python objects one at a time
                 ids, data = unpack(row["ids"], row["data"], row["dim"])
-                query_ids, query_data = unpack(row["query_ids"], row["query_data"], row["dim"])
-                q, v, s = kind.find(ids, data, row["index"], query_ids, query_data, np.frombuffer(row["bounds"], np.float64), k)
+                query_ids, query_data = (np.concatenate(x) for x in zip(*(unpack(g["query_ids"], g["query_data"], row["dim"]) for g in row["asked"]), strict=True))
+                bounds = so_far.of(query_ids, np.concatenate([np.frombuffer(g["bounds"], np.float64) for g in row["asked"]]))
+                q, v, s = kind.find(ids, data, row["index"], query_ids, query_data, bounds, k)
+                so_far.add(q, s)
                 yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(v, pa.int64()), pa.array(s, pa.int64() if kind.score == "long" else pa.float64())], names=["query_id", "vec_id", "score"])
 
         return each
 
-    return arrow_map(pairs.select("dim", "ids", "data", "index", "query_ids", "query_data", "bounds"), f"query_id long, vec_id long, score {kind.score}", run)
+    return arrow_map(pairs.select("dim", "ids", "data", "index", "asked"), f"query_id long, vec_id long, score {kind.score}", run)
+
+
+def _together(groups: DataFrame, parts: int) -> DataFrame:
+    """``(cell, block, asked)``: the groups that meet a block, in ``parts`` lists, so that a block is read a few times only."""
+    group = F.struct("query_ids", "query_data", "bounds")
+    dealt = groups.repartition("cell", "block").withColumn("s", F.pmod(F.xxhash64("query_ids"), F.lit(parts)))
+    return dealt.groupBy("cell", "block", "s").agg(F.collect_list(group).alias("asked")).drop("s")
 
 
 def _best(found: DataFrame, kind: Kind, k: int) -> DataFrame:
@@ -204,15 +251,17 @@ def search(queries: DataFrame, candidates: DataFrame, kind: Kind, k: int) -> Dat
     none = F.lit(None).cast("double")
     indexed = _indexed(packed(rows.withColumn("bound", none), BLOCK, "block", many), kind)
     named = lambda groups: groups.select("dim", "cell", F.col("ids").alias("query_ids"), F.col("data").alias("query_data"), "bounds")
-    blocks = indexed.select("cell", "block", "ids", "data", "index")
+    blocks = indexed.select("dim", "cell", "block", "ids", "data", "index")
     first = packed(asked.withColumn("bound", none), GROUP, "part", asks)
     numbers = indexed.select("cell", "block")
     numbers = F.broadcast(numbers) if numbers.count() <= MOST_NUMBERS else numbers
-    own = stored(_best(_met(named(first).join(numbers, "cell").join(blocks, ["cell", "block"]), kind, k), kind, k))
+    parts = -(-asks // ASKED)
+    meeting = lambda groups: _met(_together(groups, max(1, parts)).join(blocks, ["cell", "block"]), kind, k)
+    own = stored(_best(meeting(named(first).join(numbers, "cell")), kind, k))
     worst = F.min("score") if kind.descending else F.max("score")
     bound = own.groupBy(F.col("query_id").alias("vec_id")).agg(F.when(F.count("*") == k, worst).cast("double").alias("bound"))
     again = packed(asked.join(bound, "vec_id", "left"), GROUP, "part", asks)
-    more = _met(_opened(again.select("dim", "cell", "ids", "data", "bounds"), indexed.select("dim", "cell", "block", "centre", "radius", "most"), kind).join(blocks, ["cell", "block"]), kind, k)
+    more = meeting(_opened(again.select("dim", "cell", "ids", "data", "bounds"), indexed.select("dim", "cell", "block", "centre", "radius", "most"), kind))
     # a candidate of two cells' meetings, or of two rows of one query, counts once for each of its rows
     out = _best(own.drop("rank").unionByName(more), kind, k)
     released(rows)

@@ -2,6 +2,7 @@
 
 import math
 import random
+import sys
 
 import numpy as np
 import pytest
@@ -134,3 +135,33 @@ def test_few_candidates(spark):
     assert [tuple(r) for r in mtree.top_products(df).orderBy("rank").collect()] == [(0, 1, 3, 0), (0, 2, 5, 0)]
     assert [tuple(r)[:3] for r in rabitq.nearest(df).orderBy("rank").collect()] == [(0, 1, 3), (0, 2, 5)]
     random.seed(0)
+
+
+def test_queries_go_through_a_block_together():
+    rng = np.random.default_rng(8)
+    data = rng.normal(size=(4096, 64))
+    queries, ids, own = rng.normal(size=(600, 64)), np.arange(4096), np.arange(600)
+    for kind in (mtree.PRODUCTS,):
+        calls = []
+        trace = lambda frame, event, _, calls=calls: calls.append(frame.f_code.co_name) if event == "call" else None
+        index = kind.index(data)
+        sys.setprofile(trace)
+        try:
+            q, v, s = kind.find(ids, data, index, own, queries, np.full(600, np.nan), 10)
+        finally:
+            sys.setprofile(None)
+        assert len(calls) < 6000  # not some for each query and page
+        assert np.bincount(q).tolist() == [10] * 600 and (q != v).all()
+        if kind is mtree.PRODUCTS:
+            scores = np.floor(1024 * queries) @ np.floor(1024 * data).T
+            scores[own, own] = -np.inf
+            assert np.array_equal(np.sort(scores, axis=1)[:, :-11:-1].ravel(), s)
+
+
+def test_bounds_of_a_task():
+    for kind, better, worse in ((mtree.PRODUCTS, [9, 8], [1, 2]), (rabitq.DISTANCES, [1.0, 2.0], [9.0, 8.0])):
+        so_far = vector_blocks.Bounds(kind, 2)
+        so_far.add(np.array([4, 4, 5]), np.array([*better, 3]))
+        so_far.add(np.array([4, 4]), np.array(worse))
+        got = so_far.of(np.array([4, 5, 6, 6]), np.array([np.nan, np.nan, np.nan, 7.0]))
+        assert got[0] == better[1] and np.isnan(got[1]) and np.isnan(got[2]) and got[3] == 7.0
