@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nodeloom.llm.vector_blocks import Kind, search, usable
+from nodeloom.llm.vector_blocks import Kind, first_of_each, search, usable
 
 BITS = 6
 #: Standard deviations that the error bound spans.
@@ -27,6 +27,8 @@ ERROR = 1.9
 FIRST = 4
 SEED = 20240517
 SLACK = 1e-9
+#: Queries whose bounds are held at a time, and pairs that are measured at a time.
+AT_ONCE, PAIRS = 64, 8192
 
 
 @functools.lru_cache(4)
@@ -56,28 +58,32 @@ def encode(data: np.ndarray) -> dict[str, np.ndarray]:
     return {"mean": mean, "code": _words(signs), "length": length, "fit": fit, "ones": signs.sum(1).astype(np.int64)}
 
 
-def bounds(parts: dict[str, np.ndarray], query: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Bounds of the squared distances from ``query`` to a block's vectors."""
-    dim = len(query)
-    moved = query - parts["mean"]
-    reach = float(np.sqrt((moved**2).sum()))
-    turned = (moved / reach if reach > 0 else moved) @ rotation(dim)
-    low, high = turned.min(), turned.max()
-    step = (high - low) / ((1 << BITS) - 1) or 1.0
+def bounds(parts: dict[str, np.ndarray], queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bounds of the squared distances from each of ``queries``, or from one, to a block's vectors."""
+    dim = queries.shape[-1]
+    moved = np.atleast_2d(queries) - parts["mean"]
+    reach = np.sqrt((moved**2).sum(1))[:, None]
+    turned = (moved / np.where(reach > 0, reach, 1.0)) @ rotation(dim)
+    low, high = turned.min(1)[:, None], turned.max(1)[:, None]
+    step = (high - low) / ((1 << BITS) - 1)
+    step = np.where(step > 0, step, 1.0)
     whole = np.rint((turned - low) / step).astype(np.int64)
-    planes = _words((whole[None, :] >> np.arange(BITS)[:, None] & 1).astype(bool))
-    hits = np.zeros(len(parts["length"]), np.int64)
+    hits = np.zeros((len(moved), len(parts["length"])), np.int32)
+    code = parts["code"].T.copy()
     for b in range(BITS):
-        hits += np.bitwise_count(parts["code"] & planes[b]).sum(1, dtype=np.int64) << b
+        planes = _words((whole >> b & 1).astype(bool))
+        for w in range(len(code)):
+            hits += np.bitwise_count(code[w] & planes[:, w, None]).astype(np.int32) << b
     # <s, q> with s = (2 * bit - 1) / sqrt(dim) and q = low + step * whole
-    product = (2 * step * hits + 2 * low * parts["ones"] - step * whole.sum() - low * dim) / np.sqrt(dim)
+    product = (2 * step * hits + 2 * low * parts["ones"] - step * whole.sum(1)[:, None] - low * dim) / np.sqrt(dim)
     estimate = product / parts["fit"]
     fit2 = parts["fit"] ** 2
     # the query's rounding errors, of variance step^2 / 12, meet a code of length 1
     error = ERROR * (np.sqrt(np.maximum(0.0, 1 - fit2) / max(1, dim - 1)) + step / np.sqrt(12)) / parts["fit"]
     base = parts["length"] ** 2 + reach**2
     swing = 2 * parts["length"] * reach
-    return base - swing * np.minimum(1.0, estimate + error), base - swing * np.maximum(-1.0, estimate - error)
+    least, most = base - swing * np.minimum(1.0, estimate + error), base - swing * np.maximum(-1.0, estimate - error)
+    return (least, most) if queries.ndim > 1 else (least[0], most[0])
 
 
 def _index(data: np.ndarray) -> bytes:
@@ -86,28 +92,42 @@ def _index(data: np.ndarray) -> bytes:
     return out.getvalue()
 
 
+def _measured(data: np.ndarray, queries: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Squared distances of the pairs (query i, vector j)."""
+    out = np.empty(len(i))
+    for a in range(0, len(i), PAIRS):
+        apart = data[j[a : a + PAIRS]] - queries[i[a : a + PAIRS]]
+        out[a : a + PAIRS] = np.einsum("ij,ij->i", apart, apart)
+    return out
+
+
 def _find(ids, data, index, query_ids, queries, bounds_, k):
     with np.load(io.BytesIO(index)) as found:
         parts = dict(found)
-    q_out, v_out, s_out = [], [], []
-    for q, v, bound in zip(query_ids.tolist(), queries, bounds_.tolist(), strict=True):
+    out = [(query_ids[:0], ids[:0], np.zeros(0))]
+    for a in range(0, len(query_ids), AT_ONCE):
+        own, v, bound = query_ids[a : a + AT_ONCE], queries[a : a + AT_ONCE], bounds_[a : a + AT_ONCE]
         low, high = bounds(parts, v)
-        other = np.flatnonzero(ids != q)
-        low, middle = low[other], (low + high)[other]
-        if not np.isnan(bound):  # the k-th distance so far rules out more than this block's own would
-            chosen = other[low <= bound**2 * (1 + SLACK)]
-        elif len(other) > FIRST * k:
-            first = other[np.argpartition(middle, FIRST * k)[: FIRST * k]]
-            kth = np.partition(((data[first] - v) ** 2).sum(1), k - 1)[k - 1]
-            chosen = np.union1d(first, other[low <= kth])
-        else:
-            chosen = other
-        distance = np.sqrt(((data[chosen] - v) ** 2).sum(1))
-        best = np.lexsort((ids[chosen], distance))[:k]
-        q_out += [q] * len(best)
-        v_out += ids[chosen][best].tolist()
-        s_out += distance[best].tolist()
-    return q_out, v_out, s_out
+        other = ids != own[:, None]
+        most = bound**2 * (1 + SLACK)  # the k-th distance so far rules out more than this block's own would
+        new = np.flatnonzero(np.isnan(bound))
+        most[new] = np.inf
+        chosen = np.zeros(low.shape, bool)
+        if len(new) and len(ids) > FIRST * k:
+            middle = np.where(other[new], low[new] + high[new], np.inf)
+            first = np.argpartition(middle, FIRST * k, axis=1)[:, : FIRST * k]
+            near = _measured(data, v, np.repeat(new, FIRST * k), first.ravel()).reshape(first.shape)
+            near[~other[new[:, None], first]] = np.inf
+            most[new] = np.partition(near, k - 1, axis=1)[:, k - 1]
+            chosen[new[:, None], first] = True
+        chosen |= low <= most[:, None]
+        i, j = np.nonzero(chosen & other)
+        near = _measured(data, v, i, j) <= most[i] * (1 + SLACK)
+        i, j = i[near], j[near]
+        distance = np.sqrt(((data[j] - v[i]) ** 2).sum(1))
+        q, found_, score = first_of_each(i, ids[j], distance, distance, k)
+        out.append((own[q], found_, score))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
 def _open(distance, product, norms, radius, most, bounds):

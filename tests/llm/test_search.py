@@ -141,7 +141,7 @@ def test_queries_go_through_a_block_together():
     rng = np.random.default_rng(8)
     data = rng.normal(size=(4096, 64))
     queries, ids, own = rng.normal(size=(600, 64)), np.arange(4096), np.arange(600)
-    for kind in (mtree.PRODUCTS,):
+    for kind in (mtree.PRODUCTS, rabitq.DISTANCES):
         calls = []
         trace = lambda frame, event, _, calls=calls: calls.append(frame.f_code.co_name) if event == "call" else None
         index = kind.index(data)
