@@ -216,3 +216,17 @@ def test_graph_is_built_and_sent_once(spark):
     assert csr.compact(v, e.where("to_id < 3")) is not other
     far = csr.compact(spark.createDataFrame([(5,), (1 << 40,)], "person_id long"), spark.createDataFrame([(5, 1 << 40)], "from_id long, to_id long"))
     assert far.ids.tolist() == [5, 1 << 40] and far.to.tolist() == [1, 0]
+
+
+def test_one_measure_alone(spark, monkeypatch):
+    rng = random.Random(4)
+    v, e = made(spark, 40, {tuple(sorted(rng.sample(range(40), 2))) for _ in range(90)})
+    both = iterative.betweenness(v, e)
+    b, load = column(both, "betweenness"), column(both, "load_centrality")
+    for most in (csr.MOST_EDGES, 0):  # as arrays and as rows
+        monkeypatch.setattr(csr, "MOST_EDGES", most)
+        for name, want in (("betweenness", b), ("load_centrality", load)):
+            own = iterative.betweenness(v, e, only=name)
+            assert own.columns == ["person_id", name] and column(own, name) == pytest.approx(want)
+    with pytest.raises(ValueError):
+        iterative.betweenness(v, e, only="degree")
