@@ -230,3 +230,14 @@ def test_one_measure_alone(spark, monkeypatch):
             assert own.columns == ["person_id", name] and column(own, name) == pytest.approx(want)
     with pytest.raises(ValueError):
         iterative.betweenness(v, e, only="degree")
+
+
+def test_more_searches_at_once_in_small_graphs(spark, monkeypatch):
+    assert csr.words_at_once(120_000, 6) == 32 and csr.words_at_once(1_200_000, 6) == csr.words_at_once(2000, 6) == 8
+    rng = random.Random(5)
+    v, e = made(spark, 700, {tuple(sorted(rng.sample(range(700), 2))) for _ in range(1500)})
+    found = []
+    for words in (1, 11):
+        monkeypatch.setattr(csr, "words_at_once", lambda n, cores, words=words: words)
+        found.append(column(iterative.closeness(v, e), "closeness"))
+    assert found[0] == pytest.approx(found[1])
