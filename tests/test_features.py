@@ -4,8 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from nodeloom.operators import disruption, features, links, metrics, models, subgraph_net
-from nodeloom.operators.store import percentiles, ranked, sums_before
+from nodeloom.operators import csr, disruption, features, links, metrics, models, subgraph_net
+from nodeloom.operators.store import percentiles, ranked, stored, sums_before
 from nodeloom.plans import diagnostics
 from nodeloom.sources import synthetic, tables
 from nodeloom.streaming import events
@@ -220,6 +220,37 @@ def test_subgraph_network_scores_every_pair(spark):
     assert next(r.score for r in got if (r.from_id, r.to_id, r.label) == (one.from_id, one.to_id, one.label)) == pytest.approx(want)
 
 
+def test_subgraph_network_over_arrays(spark, monkeypatch):
+    ends = {(int(min(e)), int(max(e))) for e in np.random.default_rng(4).integers(1, 60, (90, 2)) if e[0] != e[1]}
+    vertices, relations = spark.range(1, 61).withColumnRenamed("id", "person_id"), stored(spark.createDataFrame(sorted(ends), "from_id long, to_id long"))
+    pairs = stored(links.edge_split(relations, 1).withColumn("label", (F.col("to_id") % 2).cast("int")))
+    settings = subgraph_net.Settings(hidden=8, epochs=3, fit_rows=30, stop_rows=10)
+    inputs = stored(links.node_inputs(vertices, relations, None, 4))
+    fit = stored(subgraph_net.fit_pairs(pairs, settings))
+
+    def dense(*_):
+        raise AssertionError("a matrix of all pairs of a subgraph's nodes")
+
+    monkeypatch.setattr(subgraph_net.Net, "normal", staticmethod(dense))
+    rows, history, _ = subgraph_net.train(links.subgraph_inputs(relations, fit, inputs).orderBy("split", "from_id", "to_id", "label"), settings)
+    graph = csr.compact(vertices, relations)
+    held = subgraph_net.held_inputs(spark, graph, inputs)
+    model, other, _ = subgraph_net.fitted(spark, graph, held, fit, settings)
+    assert np.allclose(history.to_numpy(), other.to_numpy()) and all(np.allclose(a, b) for a, b in zip(rows.p, model.p, strict=True))
+    want = {tuple(r)[:4]: r.score for r in subgraph_net.scored(model, links.subgraph_inputs(relations, pairs, inputs)).collect()}
+    got = {tuple(r)[:4]: r.score for r in subgraph_net.scored_over(spark, graph, held, model, pairs).collect()}
+    assert len(got) == pairs.count() and got == pytest.approx(want)
+
+
+def test_adjacency_by_neighbours():
+    rng = np.random.default_rng(5)
+    for n, m in ((1, 0), (7, 0), (9, 12), (40, 200)):
+        ends = rng.integers(0, n, (m, 2))
+        index = np.concatenate([ends, ends[:, ::-1]])
+        x = rng.normal(size=(n, 5))
+        assert np.allclose(subgraph_net.Near(n, index) @ x, subgraph_net.Net.normal(n, index) @ x)
+
+
 def test_streams(spark, tmp_path):
     df = spark.createDataFrame([(1, "2024-01-01 10:00:00", "a", 2.0), (1, "2024-01-01 10:10:00", "a", 3.0), (1, "2024-01-01 12:00:00", "b", 1.0), (2, "2024-01-02 00:00:00", "a", 1.0)], "user_id long, at_ string, event_type string, value double")
     df = df.withColumn("ts", F.col("at_").cast("timestamp")).drop("at_")
