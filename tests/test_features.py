@@ -140,6 +140,42 @@ def test_density_clusters_beyond_one_task(spark, monkeypatch):
     assert len(roles) == len(points)
 
 
+def test_spanning_tree_is_the_only_one(spark, monkeypatch):
+    rng = np.random.default_rng(1)
+    points = np.column_stack([rng.exponential(size=400), rng.integers(0, 4, 400), rng.integers(0, 3, 400)])
+    points = np.concatenate([points, points[:60], rng.integers(0, 5, (200, 3)) + 9.0])
+    monkeypatch.setattr(models, "BLOCK", 16)
+    i, j = np.triu_indices(len(points), 1)
+    d = sum((points[i, k] - points[j, k]) ** 2 for k in range(3))
+    root, want = list(range(len(points))), []
+    for e in np.lexsort((j, i, d)):
+        if root[i[e]] != root[j[e]]:
+            a, b = root[i[e]], root[j[e]]
+            root = [a if r == b else r for r in root]
+            want.append((float(np.sqrt(d[e])), int(i[e]), int(j[e])))
+    assert sorted(models.spanning_tree(spark, points)) == sorted(want)
+
+
+def test_blocks_meet_near_blocks_only(monkeypatch):
+    points = np.random.default_rng(2).normal(size=(6000, 4))
+    order = models._dealt(points, 64)
+    blocks, pairs = models._Blocks(points[order], order, 64, 256), []
+    whole = models._squares
+    monkeypatch.setattr(models, "_squares", lambda x, y: pairs.append(len(x) * len(y)) or whole(x, y))
+    found = np.concatenate([blocks.nearest(at, 3) for at in range(len(blocks.low))])
+    assert sum(pairs) < len(points) ** 2 / 3
+    for at in range(0, 6000, 500):
+        own = whole(points[order][at : at + 1], points[order])[0]
+        assert sorted(own[found[at]]) == sorted(own)[1:4]
+
+
+def test_deep_hierarchy_of_density_clusters():
+    n = 30_000  # threes, each farther from the ones before: a hierarchy of 10,000 levels
+    edges = [(1.0 if b % 3 else 2.0 + b, b - 1, b) for b in range(1, n)]
+    labels = models.leaf_labels(n, edges, 3, 0.5)
+    assert np.ptp(labels.reshape(-1, 3), axis=1).max() == 0 and len(set(labels.tolist())) == n // 3
+
+
 def test_ranks_and_percentiles(spark):
     rng = np.random.default_rng(2)
     x = [*rng.normal(size=400).round(1).tolist(), None]
