@@ -278,6 +278,50 @@ def test_subgraph_network_over_arrays(spark, monkeypatch):
     assert len(got) == pairs.count() and got == pytest.approx(want)
 
 
+def test_subgraph_network_fits_every_pair(spark, monkeypatch):
+    """The fit reads all train and val pairs; over shards it is the same from the graph as arrays and from rows, and one shard is the fit in one task."""
+    ends = {(int(min(e)), int(max(e))) for e in np.random.default_rng(4).integers(1, 400, (900, 2)) if e[0] != e[1]}
+    vertices, relations = spark.range(1, 401).withColumnRenamed("id", "person_id"), stored(spark.createDataFrame(sorted(ends), "from_id long, to_id long"))
+    pairs = stored(links.edge_split(relations, 1).withColumn("label", (F.col("to_id") % 2).cast("int")))
+    settings = subgraph_net.Settings(hidden=8, epochs=2)
+    fit = subgraph_net.fit_pairs(pairs, settings)
+    assert fit.where("split = 'train'").count() == pairs.where("split = 'train'").count() > 400 and fit.where("split = 'val'").count() == pairs.where("split = 'val'").count()
+    inputs = stored(links.node_inputs(vertices, relations, None, 4))
+    graph = csr.compact(vertices, relations)
+    held = subgraph_net.held_inputs(spark, graph, inputs)
+    one, history, _ = subgraph_net.fitted(spark, graph, held, fit, settings)
+    net, same = subgraph_net.fitted_pairs(spark, graph, held, fit, settings)
+    assert np.allclose(history.to_numpy(), same.to_numpy()) and all(np.allclose(a, b) for a, b in zip(one.p, net.p, strict=True))
+    monkeypatch.setattr(subgraph_net, "SHARD", len(ends) // 8)
+    net, history = subgraph_net.fitted_pairs(spark, graph, held, fit, settings)
+    again, other = subgraph_net.fitted_rows(stored(links.subgraph_inputs(relations, fit, inputs)), 4, settings)
+    assert np.allclose(history.to_numpy(), other.to_numpy()) and all(np.allclose(a, b) for a, b in zip(net.p, again.p, strict=True))
+
+
+def test_subgraph_network_slopes():
+    """The summed gradients of a batch are the slopes of its loss."""
+    rng = np.random.default_rng(6)
+    rows = []
+    for n, m, y in ((5, 6, 1.0), (9, 14, 0.0), (1, 0, 1.0)):
+        e = rng.integers(0, n, (m, 2))
+        e = e[e[:, 0] != e[:, 1]]
+        rows.append((rng.normal(size=(n, 3)), subgraph_net.Near(n, np.concatenate([e, e[:, ::-1]])), y))
+    net, part = subgraph_net.Net(3, subgraph_net.Settings(hidden=4, top=3)), subgraph_net.Rows(rows)
+    net.p[1], net.p[3] = rng.normal(size=4), rng.normal(size=4)  # off the kinks
+    loss = lambda: -sum(np.log(p if y else 1 - p) for p, y in ((net.forward(x, a)[0], y) for x, a, y in rows))
+    (_, *sub), = part.pieces(np.arange(3))
+    out, slopes = net.learned(*sub, part.y)
+    assert np.allclose(out, [net.forward(x, a)[0] for x, a, _ in rows])
+    for p, g in zip(net.p, slopes, strict=True):
+        for at in np.ndindex(p.shape):
+            was, h = p[at], 1e-6
+            p[at] = was + h
+            up = loss()
+            p[at] = was - h
+            down, p[at] = loss(), was
+            assert g[at] == pytest.approx((up - down) / (2 * h), rel=1e-4, abs=1e-7)
+
+
 def test_adjacency_by_neighbours():
     rng = np.random.default_rng(5)
     for n, m in ((1, 0), (7, 0), (9, 12), (40, 200)):
