@@ -322,6 +322,17 @@ def test_subgraph_network_slopes():
             assert g[at] == pytest.approx((up - down) / (2 * h), rel=1e-4, abs=1e-7)
 
 
+def test_negative_samples_send_no_edges(spark, monkeypatch):
+    """Tables with a row for each edge or person are merged, however small their files: only the counts by bucket are sent."""
+    plans = []
+    monkeypatch.setattr(links, "stored", lambda df: (plans.append(df._jdf.queryExecution().executedPlan().toString()), stored(df))[1])
+    edges = stored(spark.createDataFrame([(i, i + 1) for i in range(1, 40)], "from_id long, to_id long"))
+    vertices = stored(spark.range(1, 41).withColumnRenamed("id", "person_id"))
+    got = links.negative_samples(vertices, edges, stored(links.edge_split(edges, 1)))
+    assert got.count() == 39 and plans and plans[0].count("BroadcastHashJoin") == 1 and "LeftAnti" in plans[0]
+    assert "BroadcastHashJoin" not in plans[1]
+
+
 def test_adjacency_by_neighbours():
     rng = np.random.default_rng(5)
     for n, m in ((1, 0), (7, 0), (9, 12), (40, 200)):
