@@ -333,6 +333,16 @@ def test_negative_samples_send_no_edges(spark, monkeypatch):
     assert "BroadcastHashJoin" not in plans[1]
 
 
+def test_forests_add_up_in_any_order(spark):
+    """Shares summed tree by tree, or part by part, give the same digits."""
+    rng = np.random.default_rng(8)
+    rows = [(i, ("Broker", "Enabler", "Peripheral")[int(rng.integers(3))], float(rng.normal()), float(rng.normal())) for i in range(60)]
+    f = spark.createDataFrame(rows, "person_id long, role string, a double, b double")
+    model, roles, _ = models.supervised_roles(f, f, ["a", "b"], trees=60, depth=6, folds=2)
+    by_tree = {r.person_id: max(r.probability) for r in model.transform(f).collect()}
+    assert by_tree == {r.person_id: r.confidence for r in roles.collect()}
+
+
 def test_adjacency_by_neighbours():
     rng = np.random.default_rng(5)
     for n, m in ((1, 0), (7, 0), (9, 12), (40, 200)):
